@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 SALT = "_salt"
 
@@ -55,11 +56,10 @@ def first_by(
 ) -> DataFrame:
     """The first row of every key under ``order`` (ascending, nulls first).
 
-    A ``min_by`` aggregate instead of a window: rows of one key are reduced before the shuffle,
-    so a key with a third of all rows is not sorted in a single task.
+    Spark plans ``row_number = 1`` with a group limit ahead of the shuffle: every input task sends
+    at most one row per key, so a key with a third of all rows is not sorted in a single task.
     """
     keep = list(keep) if keep is not None else [c for c in df.columns if c not in keys]
-    row = F.struct(*[F.col(f"`{c}`") for c in keep])
-    key = F.struct(*[c if isinstance(c, Column) else F.col(c) for c in order])
-    picked = df.groupBy(*keys).agg(F.min_by(row, key).alias("_first"))
-    return picked.select(*keys, *[F.col("_first").getField(c).alias(c) for c in keep])
+    by = [(c if isinstance(c, Column) else F.col(c)).asc_nulls_first() for c in order]
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
+    return df.withColumn("_rn", first).where(F.col("_rn") == 1).select(*keys, *[F.col(f"`{c}`") for c in keep])

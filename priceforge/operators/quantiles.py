@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 from priceforge.operators.joins import lookup_join
 
 ACCURACY = 10_000
-WHOLE_GROUP = 100_000
+# Twice the sketch error must span at least one rank on each side of the wanted one.
+WHOLE_GROUP = 30_000
 
 
 def name_of(column: str, prob: float) -> str:
