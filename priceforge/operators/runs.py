@@ -153,9 +153,14 @@ def summary_order(summary: DataFrame, n: int | None = None, best_first: bool = T
     return ordered if n is None else ordered.limit(n)
 
 
+def round_half_even(value: Column, digits: int) -> Column:
+    """Round the scaled value to the nearest whole, ties to even."""
+    return F.rint(value * 10.0**digits) / 10.0**digits
+
+
 def score_stats(summary: DataFrame, by: str) -> DataFrame:
     """Count, mean, sample deviation, best and worst of the scores per ``by``, to 4 places."""
-    r = lambda c: F.round(c, 4)
+    r = lambda c: round_half_even(c, 4)
     return summary.groupBy(by).agg(
         F.count("test_score").alias("test_score_count"),
         r(F.avg("test_score")).alias("test_score_mean"),
@@ -237,7 +242,7 @@ def pivot_min(
 ) -> DataFrame:
     """Smallest metric per index and column value, in the given column order."""
     wide = summary.groupBy(*index).pivot(columns, list(values)).agg(F.min(metric))
-    return wide.select(*index, *[(F.round(F.col(f"`{v}`"), digits) * scale).alias(v) for v in values])
+    return wide.select(*index, *[(round_half_even(F.col(f"`{v}`"), digits) * scale).alias(v) for v in values])
 
 
 def top_by_metric(summary: DataFrame, metric: str, n: int = 10) -> DataFrame:

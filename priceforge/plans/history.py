@@ -176,7 +176,7 @@ def summary_top_n(spark, sf_dir):
 
 
 def _stats_sql(by: str) -> str:
-    score = "round({}(test_mape), 4) AS {}"
+    score = "round_even({}(test_mape) * 10000::DOUBLE, 0) / 10000::DOUBLE AS {}"
     parts = [("avg", "mean"), ("stddev_samp", "std"), ("max", "max"), ("min", "min")]
     cells = [score.format(f, f"test_score_{n}") for f, n in parts]
     cells += [score.format(f, f"test_mape_{n}") for f, n in parts if n != "max"]
@@ -315,7 +315,7 @@ def top10_by_metric(spark, sf_dir):
 
 
 def _pivot_sql(index: str, metric: str, digits: int) -> str:
-    cells = ", ".join(f"round(min(CASE WHEN feature_set_short = '{s}' THEN {metric} END), {digits}) AS {s}" for s in SHORT_SETS)
+    cells = ", ".join(f"round_even(min(CASE WHEN feature_set_short = '{s}' THEN {metric} END) * {10**digits}::DOUBLE, 0) / {10**digits}::DOUBLE AS {s}" for s in SHORT_SETS)
     return f"SELECT {index}, {cells} FROM summary GROUP BY {index}"
 
 

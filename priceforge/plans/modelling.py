@@ -34,7 +34,8 @@ def split_table(spark: SparkSession, sf_dir: str, with_images: bool = False) ->
     df = images.train_population(population(spark, sf_dir)).drop(*DROPPED)
     if with_images:
         df = df.join(images.image_wide(fx.image_features(spark, sf_dir)), "id", "left")
-    return materialize(stratified_split(materialize(df), seed=fx.SEED))
+    # The population is stored already; only the image join is worth storing again.
+    return materialize(stratified_split(materialize(df) if with_images else df, seed=fx.SEED))
 
 
 def prepared(spark: SparkSession, sf_dir: str, with_images: bool = False, **metadata) -> Prepared:
