@@ -30,17 +30,18 @@ def positions(
     tagged = df.withColumn("_bucket", bucket)
     sizes = tagged.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bucket")
+    keys = [*by, "_bucket"]
     starts = sizes.select(
-        *by,
-        "_bucket",
+        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
         F.coalesce(F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"),
     )
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order)
     numbered = tagged.withColumn("_rn", F.row_number().over(inside))
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
     return (
-        numbered.join(starts, [*by, "_bucket"])
+        numbered.join(starts, same)
         .withColumn(name, F.col("_start") + F.col("_rn") - 1)
-        .drop("_start", "_rn", "_bucket")
+        .drop("_start", "_rn", "_bucket", *[f"_key{i}" for i in range(len(keys))])
     )
 
 

@@ -35,6 +35,12 @@ def test_positions_of_a_hot_group(spark):
         groups[r["g"]] += 1
 
 
+def test_positions_keep_rows_without_group_or_bucket(spark):
+    df = spark.createDataFrame([(None, 1, 1), (None, None, 2), ("a", None, 3), ("a", 1, 4)], "g string, b int, id int")
+    rows = {r["id"]: r["n"] for r in positions(df, ["g"], F.col("b"), ["id"], "n").collect()}
+    assert rows == {2: 0, 1: 1, 3: 0, 4: 1}
+
+
 @pytest.mark.parametrize("n", [0, 1, 17, 999, 1000, 5000])
 def test_sample_is_exact(spark, n):
     ids = {r["id"] for r in sample_exact(spark.range(1000).repartition(4), "id", n, 3).collect()}
