@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from priceforge.llm import exact_dedup, sharding
+from priceforge.llm import exact_dedup, fingerprints, quality, sharding
 from priceforge.llm.corpus import documents
 from priceforge.llm.registry import CHECKS, QUERIES, query  # noqa: F401
 
@@ -26,3 +26,13 @@ def op1_exact_dedup(spark, sf_dir):
 @query("op10_sharding")
 def op10_sharding(spark, sf_dir):
     return sharding.differenced_shards(documents(spark, sf_dir))
+
+
+@query("op6_document_fingerprints")
+def op6_document_fingerprints(spark, sf_dir):
+    return fingerprints.edited_fingerprints(documents(spark, sf_dir))
+
+
+@query("op9_quality_classifier")
+def op9_quality_classifier(spark, sf_dir):
+    return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
