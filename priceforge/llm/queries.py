@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from priceforge.llm import exact_dedup, fingerprints, quality, sharding
+from priceforge.llm import exact_dedup, fingerprints, quality, sharding, simhash
 from priceforge.llm.corpus import documents
 from priceforge.llm.registry import CHECKS, QUERIES, query  # noqa: F401
 
@@ -36,3 +36,8 @@ def op6_document_fingerprints(spark, sf_dir):
 @query("op9_quality_classifier")
 def op9_quality_classifier(spark, sf_dir):
     return quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op5_simhash_near_dedup")
+def op5_simhash_near_dedup(spark, sf_dir):
+    return simhash.near_duplicates(documents(spark, sf_dir))
