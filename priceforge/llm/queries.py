@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from priceforge.llm import exact_dedup, fingerprints, quality, sharding, simhash
+from priceforge.llm import (
+    exact_dedup,
+    fingerprints,
+    quality,
+    sentencepiece_codec,
+    sharding,
+    simhash,
+    token_counts,
+)
 from priceforge.llm.corpus import documents
 from priceforge.llm.registry import CHECKS, QUERIES, query  # noqa: F401
 
@@ -41,3 +49,13 @@ def op9_quality_classifier(spark, sf_dir):
 @query("op5_simhash_near_dedup")
 def op5_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query("op3_sentencepiece")
+def op3_sentencepiece(spark, sf_dir):
+    return sentencepiece_codec.coded(documents(spark, sf_dir))
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark, sf_dir):
+    return token_counts.token_counts(documents(spark, sf_dir))

@@ -52,11 +52,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def pieces(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of items of about ``most`` in total size, at least one item each."""
-    start, total, i = 0, 0, 0
-    for i, size in enumerate(sizes):
-        if i > start and total + size > most:
-            yield start, i
-            start, total = i, 0
+    start, total, n = 0, 0, 0
+    for n, size in enumerate(sizes, 1):
+        if n - 1 > start and total + size > most:
+            yield start, n - 1
+            start, total = n - 1, 0
         total += size
-    if total or start <= i:
-        yield start, i + 1
+    if n > start:
+        yield start, n
