@@ -5,6 +5,7 @@ from __future__ import annotations
 from priceforge.llm import (
     exact_dedup,
     fingerprints,
+    packing,
     quality,
     sentencepiece_codec,
     sharding,
@@ -59,3 +60,8 @@ def op3_sentencepiece(spark, sf_dir):
 @query("op4_token_counts")
 def op4_token_counts(spark, sf_dir):
     return token_counts.token_counts(documents(spark, sf_dir))
+
+
+@query("op7_best_fit_packing")
+def op7_best_fit_packing(spark, sf_dir):
+    return packing.packed(documents(spark, sf_dir))
