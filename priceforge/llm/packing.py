@@ -37,9 +37,10 @@ _REMEMBERED = 400_000
 #: Written behind a word; no byte of UTF-8.
 _WORD_END = b"\xff"
 _SUFFIX = "</w>"
-#: Characters that normalisation only makes lower case. Words with others are left to the library.
-_SIMPLE = regex.compile("[!-~¡-įı-ɏ‐-‧‰-⁞]+")
-_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Any character that normalisation may change in another way than to lower case. Words with such a one are
+#: left to the library.
+_STRANGE = regex.compile("[^\n!-~\u00a1-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e]")
+_PARTS = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 def _symbols(text: bytes) -> list[bytes]:
@@ -88,27 +89,29 @@ class Words:
         self.flat = np.concatenate([self.flat, ids])
 
     def _learn(self, words: list[bytes]) -> None:
-        simple, parts, others = [], [], []
-        for word in words:
-            text = word.decode()
-            if _SIMPLE.fullmatch(text) and not any(s in text for s in self.special):
-                simple.append(word)
-                parts.append(_PARTS.findall(text.lower()))
-            else:
-                others.append(word)
+        simple, others = words, []
+        text = b"\n".join(words).decode()
+        if _STRANGE.search(text) or any(s in text for s in self.special):
+            simple = []
+            for word in words:
+                own = word.decode()
+                odd = _STRANGE.search(own) or any(s in own for s in self.special)
+                (others if odd else simple).append(word)
+            text = b"\n".join(simple).decode()
         if simple:
-            index: dict[str, int] = {}
-            flat = [index.setdefault(p, len(index)) for own in parts for p in own]
-            raw = [p.encode() + _WORD_END for p in index]
+            # All words at once; a line break stands between two words and is a part of its own.
+            parts = _PARTS.findall(text.lower())
+            index = {p: i for i, p in enumerate(dict.fromkeys(["\n", *parts]))}
+            part = np.fromiter(map(index.__getitem__, parts), np.int64, len(parts))
+            breaks = np.concatenate([[0], np.cumsum(part != 0)])[np.concatenate([[0], np.flatnonzero(part == 0), [len(part)]])]
+            part = part[part != 0] - 1
+            raw = [p.encode() + _WORD_END for p in list(index)[1:]]
             found = [self.segment(raw[a:b]) for a, b in pieces(map(len, raw), _UNITS)]
             ids = np.concatenate([f.paths()[0] for f in found])
             counts = np.concatenate([f.totals() for f in found])
-            starts = np.cumsum(counts) - counts
-            part = np.array(flat, dtype=np.int64)
-            width = np.fromiter(map(len, parts), np.int64, len(parts))
-            joined, sizes = _gather(ids, starts[part], counts[part])
+            joined, sizes = _gather(ids, (np.cumsum(counts) - counts)[part], counts[part])
             running = np.concatenate([[0], np.cumsum(sizes)])
-            self._add(simple, np.diff(running[np.concatenate([[0], np.cumsum(width)])]), joined)
+            self._add(simple, np.diff(running[breaks]), joined)
         if others:
             rows = [e.ids for e in self.library.encode_batch([w.decode() for w in others], add_special_tokens=False)]
             self._add(others, np.fromiter(map(len, rows), np.int64, len(rows)), np.array([i for r in rows for i in r], np.int32))

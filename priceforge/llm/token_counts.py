@@ -28,6 +28,7 @@ _CHUNK = 1 << 21
 _UNITS = 1 << 18
 #: Words whose counts a worker remembers between batches.
 _REMEMBERED = 500_000
+_ODD_SPACE = regex.compile(r"[^\S\n ]|\S ")
 _WORDS = regex.compile(public_tokenizers.PATTERN)
 
 
@@ -74,12 +75,25 @@ class Counter:
         return [w for part in between for w in self.words(part)], len(between) - 1
 
     def _learn(self, units: list[str]) -> None:
-        parts = [self.words(u) for u in units]
-        totals = self._totals([w for p in parts for w in p])
-        for unit, part in zip(units, parts):
+        # Units without white space behind their first character are cut together, a line break between two.
+        plain = [u for u in units if "\n" not in u and u != " "]
+        text = "\n".join(plain)
+        if _ODD_SPACE.search(text):
+            plain, text = [], ""
+        rest = units if not plain else [u for u in units if "\n" in u or u == " "]
+        parts = [self.words(u) for u in rest]
+        joined = self.words(text)
+        totals = self._totals([w for p in parts for w in p] + joined)
+        for unit, part in zip(rest, parts):
             # Two low bits: white at the start (behind the space) and at the end.
             edges = (not unit.strip() or unit[1:2].isspace()) + 2 * unit[-1:].isspace()
             self._known[unit] = 4 * sum(map(totals.__getitem__, part)) + edges
+        if plain:
+            totals["\n"] = 0
+            counts = np.fromiter(map(totals.__getitem__, joined), np.int64, len(joined))
+            breaks = np.fromiter(("\n" == w for w in joined), bool, len(joined))
+            begins = np.concatenate([[0], np.flatnonzero(breaks) + 1])
+            self._known.update(zip(plain, (4 * np.add.reduceat(counts, begins)).tolist()))
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """The number of tokens of each text.
