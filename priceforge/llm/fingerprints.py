@@ -18,13 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from priceforge.llm.corpus import id_and_text, shuffle_width
 from priceforge.llm.rolling import Prefixes, pieces
-from priceforge.session import materialize
 
 #: One word in so many ends a leaf; one leaf in so many ends a section. Powers of two.
 WORDS_A_LEAF = 4
@@ -129,16 +128,9 @@ def differing(a: str, b: str) -> list[tuple[int, int]]:
     return places
 
 
-_FIELDS = (
-    "part int, kind int, doc_id long, text string, n_chars long, edited_sha256 string, fingerprint string, "
-    "edited_fingerprint string, near_edited double, near_next double"
-)
 _ARROW = pa.schema(
     [
-        ("part", pa.int32()),
-        ("kind", pa.int32()),
         ("doc_id", pa.int64()),
-        ("text", pa.string()),
         ("n_chars", pa.int64()),
         ("edited_sha256", pa.string()),
         ("fingerprint", pa.string()),
@@ -147,24 +139,23 @@ _ARROW = pa.schema(
         ("near_next", pa.float64()),
     ]
 )
-_DONE, _HEAD, _TAIL = range(3)
 
 
-def _described(rows: list[tuple[int, int, str, str]]) -> Iterator[tuple]:
-    """Rows (part, doc_id, text, text of the next document) with all that is asked for."""
+def _described(rows: list[tuple[int, str, str]]) -> Iterator[tuple]:
+    """Rows (doc_id, text, text of the next document) with all that is asked for."""
     edited = []
-    for _, _, text, following in rows:
+    for _, text, following in rows:
         k = len(text) // 3
         edited.append((text[: len(text) - k] + following[:k]).encode())
-    own = fingerprints([text.encode() for _, _, text, _ in rows])
+    own = fingerprints([text.encode() for _, text, _ in rows])
     # The next document is mostly the next row, whose fingerprint is there already.
-    known = dict(zip((text for _, _, text, _ in rows), own))
-    others = list(dict.fromkeys(n for _, _, _, n in rows if n not in known))
+    known = dict(zip((text for _, text, _ in rows), own))
+    others = list(dict.fromkeys(n for _, _, n in rows if n not in known))
     known.update(zip(others, fingerprints([t.encode() for t in others])))
     changed = fingerprints(edited)
-    for (part, doc_id, text, following), fp, new, bytes_ in zip(rows, own, changed, edited):
+    for (doc_id, text, following), fp, new, bytes_ in zip(rows, own, changed, edited):
         near = likeness(fp, new), likeness(fp, known[following])
-        yield part, _DONE, doc_id, None, len(text), hashlib.sha256(bytes_).hexdigest(), fp, new, *near
+        yield doc_id, len(text), hashlib.sha256(bytes_).hexdigest(), fp, new, *near
 
 
 def _batches(rows: Iterator[tuple], size: int = 2000) -> Iterator[pa.RecordBatch]:
@@ -185,35 +176,26 @@ def _batches(rows: Iterator[tuple], size: int = 2000) -> Iterator[pa.RecordBatch
 
 
 def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each sorted row with its successor; the ends of the partition are given out with their texts."""
+    """Each sorted row of a range with its successor; the last one's is the first row from the range behind."""
 
     def rows():
         last, ready, total = None, [], 0
         for batch in batches:
-            for part, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if last is None:
-                    yield part, _HEAD, doc_id, text, *[None] * 6
-                else:
+            for extra, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if last is not None:
                     ready.append((*last, text))
-                    total += len(last[2])
+                    total += len(last[1])
                     if total > _CHUNK:
                         yield from _described(ready)
                         ready, total = [], 0
-                last = part, doc_id, text
-        if ready:
-            yield from _described(ready)
-        if last is not None:
-            yield last[0], _TAIL, last[1], last[2], *[None] * 6
+                if extra:
+                    yield from _described(ready)
+                    return
+                last = doc_id, text
 
     return _batches(rows())
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _batches(
-        row for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns)) for row in _described([x])
-    )
-
-
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
@@ -221,27 +203,42 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     so a single one follows itself. A null text is empty; an empty text has no leaf, is like itself (1)
     and unlike any other (0). An empty table gives an empty result.
 
-    The texts are shuffled once, into ranges of ids. Each task passes its sorted rows by in pairs. What
-    is left are the two ends of each range, which are joined apart: as many rows as there are ranges.
+    Quantiles of the ids, one for each shuffle partition, cut the order into ranges. A row goes to the task
+    of its range; the first row of a range goes to the task of the range before it as well, so every
+    task has the successors of all its rows. The texts are shuffled once and nothing is stored.
     """
     rows = id_and_text(docs, id_col, text_col)
     width = shuffle_width(docs.sparkSession)
-    ranges = (
-        rows.repartitionByRange(width, F.col("doc_id").desc())
-        .sortWithinPartitions(F.col("doc_id").desc(), F.col("text"))
-        .select(F.spark_partition_id().alias("part"), "doc_id", "text")
+    shares = [i / width for i in range(1, width)] or [0.5]
+    cuts = rows.agg(F.percentile_approx("doc_id", shares, 100 * width).alias("cuts")).first().cuts
+    limits = [-float("inf"), *sorted({float(c) for c in cuts or []}), float("inf")]
+    placed = (
+        Bucketizer(splits=limits, inputCol="_id", outputCol="_range")
+        .transform(rows.withColumn("_id", F.col("doc_id").cast("double")))
+        .select("doc_id", "text", (F.lit(len(limits) - 2) - F.col("_range").cast("int")).alias("range"))
     )
-    found = materialize(ranges.mapInArrow(_with_next, _FIELDS))
-    order = Window.orderBy("part")
-    heads = found.where(F.col("kind") == _HEAD).select(
-        "part",
-        F.coalesce(
-            F.lead("text").over(order),
-            F.first("text").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-        ).alias("following"),
+    # One row for each range.
+    heads = placed.groupBy("range").agg(F.max("doc_id").alias("head")).orderBy("range").collect()
+    before = [heads[i - 1]["range"] for i in range(len(heads))]
+    copies = F.array(
+        F.struct(F.col("range").alias("task"), F.lit(False).alias("extra")),
+        F.struct(
+            F.element_at(F.create_map(*[F.lit(x) for h, b in zip(heads, before) for x in (h["range"], b)]), F.col("range"))
+            .alias("task"),
+            F.lit(True).alias("extra"),
+        ),
+    ) if heads else F.array(F.struct(F.col("range").alias("task"), F.lit(False).alias("extra")))
+    is_head = F.col("doc_id").isin([h["head"] for h in heads])
+    dealt = placed.select(
+        "doc_id", "text", F.explode(F.when(is_head, copies).otherwise(F.slice(copies, 1, 1))).alias("to")
+    ).select("to.task", "to.extra", "doc_id", "text")
+    fields = (
+        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+        "near_edited double, near_next double"
     )
-    tails = found.where(F.col("kind") == _TAIL).select("part", "doc_id", "text").join(heads, "part")
-    done = found.where(F.col("kind") == _DONE).unionByName(tails.mapInArrow(_finish, _FIELDS))
-    return done.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+    return (
+        dealt.repartitionById(width, "task")
+        .sortWithinPartitions("extra", F.col("doc_id").desc(), "text")
+        .select("extra", "doc_id", "text")
+        .mapInArrow(_with_next, fields)
     )
