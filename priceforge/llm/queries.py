@@ -10,6 +10,7 @@ from priceforge.llm import (
     sentencepiece_codec,
     sharding,
     simhash,
+    suffix_dedup,
     token_counts,
 )
 from priceforge.llm.corpus import documents
@@ -65,3 +66,8 @@ def op4_token_counts(spark, sf_dir):
 @query("op7_best_fit_packing")
 def op7_best_fit_packing(spark, sf_dir):
     return packing.packed(documents(spark, sf_dir))
+
+
+@query("op2_suffix_array_dedup")
+def op2_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.removed(documents(spark, sf_dir)).drop("kept")

@@ -29,12 +29,13 @@ def _power_table(base: int, n: int) -> np.ndarray:
 
 
 class Prefixes:
-    """Prefix hashes of one buffer."""
+    """Prefix hashes of one buffer of bytes, or of 64-bit values that are hashes themselves."""
 
     def __init__(self, buffer: np.ndarray):
         n = len(buffer)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_VALUES[buffer] * _power_table(_M, n + 1)[:n], dtype=np.uint64, out=self.sums[1:])
+        values = _VALUES[buffer] if buffer.dtype == np.uint8 else buffer
+        np.cumsum(values * _power_table(_M, n + 1)[:n], dtype=np.uint64, out=self.sums[1:])
         self.back = _power_table(_M_INVERSE, n + 1)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
