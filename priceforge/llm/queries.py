@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from priceforge.llm import (
     exact_dedup,
     fingerprints,
     packing,
+    phrase_dedup,
     quality,
     sentencepiece_codec,
     sharding,
@@ -71,3 +73,11 @@ def op7_best_fit_packing(spark, sf_dir):
 @query("op2_suffix_array_dedup")
 def op2_suffix_array_dedup(spark, sf_dir):
     return suffix_dedup.removed(documents(spark, sf_dir)).drop("kept")
+
+
+@query("op8_substring_dedup")
+def op8_substring_dedup(spark, sf_dir):
+    return phrase_dedup.removed(documents(spark, sf_dir)).drop("kept")
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -8,7 +8,7 @@ from pathlib import Path
 
 import pytest
 
-from priceforge.llm import suffix_dedup
+from priceforge.llm import phrase_dedup, suffix_dedup
 
 SMALL = Path("/root/testdata/sf0.001")
 
@@ -109,3 +109,38 @@ def test_pipeline_form_replaces_texts(spark):
     assert rows[1].text == "ü  one" and rows[1].n_chars == 6
     assert rows[2].text == "" and rows[2].n_chars == 0 and rows[2].lang == "de"
     assert rows[3].text is None and rows[4].text == "alone" and re.fullmatch("alone", rows[4].text)
+
+
+def brute_words(texts, window):
+    units = [(t or "").encode().split() for t in texts]
+    for u, gone in zip(units, brute(units, window), strict=True):
+        kept = b" ".join(w for w, g in zip(u, gone, strict=True) if not g)
+        yield len(u), sum(gone), hashlib.sha256(kept).hexdigest()
+
+
+@pytest.mark.parametrize(("window", "ids"), [(35, 1 << 21), (7, 1 << 21), (20, 50)])
+def test_words_match_brute_force(spark, monkeypatch, window, ids):
+    monkeypatch.setattr(phrase_dedup, "AUTOMATON_IDS", ids)
+    monkeypatch.setattr(phrase_dedup, "SHARD_STRETCHES", 2)
+    texts = awkward()
+    found = {r.doc_id: tuple(r)[1:4] for r in phrase_dedup.removed(frame(spark, texts), window).collect()}
+    assert [found[i] for i in range(len(texts))] == list(brute_words(texts, window))
+
+
+def test_words_of_the_small_table(spark):
+    from priceforge.llm.queries import QUERIES
+
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").collect()
+    found = {r.doc_id: r for r in QUERIES["op8_substring_dedup"](spark, str(SMALL)).collect()}
+    for row, expected in zip(rows, brute_words([r.text for r in rows], 35), strict=True):
+        r = found[row.doc_id]
+        assert (r.n_words, r.n_removed, r.kept_sha256) == expected
+    assert any(r.n_removed for r in found.values())
+
+
+def test_words_of_repeated_rows_and_an_empty_table(spark):
+    text = " ".join(map(str, range(50)))
+    docs = spark.createDataFrame([(1, text), (1, text), (2, None), (3, "  ")], "doc_id long, text string")
+    rows = phrase_dedup.removed(docs).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_words, r.n_removed) for r in rows] == [(1, 50, 50), (1, 50, 50), (2, 0, 0), (3, 0, 0)]
+    assert phrase_dedup.removed(docs.limit(0)).collect() == []
