@@ -9,8 +9,10 @@ unique drops out at each:
 
 1. blocks whose name is unique hold no recurring window, unless its hash stands in them twice;
 2. of the others, blocks of which a copy exists recur as a whole;
-3. where one name has several different blocks, or is tied, one of each is cut into single starts, ranked by
-   the pair of names of both halves of the window.
+3. where one name has several different blocks, or is tied, one of each is cut into cells of at most
+   ``cell`` starts, aligned to the place of the smallest hash. A cell is named by the units that all
+   its windows share, and cells are settled like blocks;
+4. what is still open is cut into single starts, ranked by the pair of names of both halves of the window.
 
 Names are 64-bit hashes. What counts as equal rests on two of them, name and block or both halves.
 """
@@ -57,6 +59,8 @@ def word_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Units:
     split: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
     threshold: int
+    #: Starts in a cell; 0 leaves step 3 out.
+    cell: int = 0
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,9 +148,44 @@ def ranges(low: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(int(total[-1]) if len(n) else 0) + np.repeat(low - (total - n), n)
 
 
-def halves(rows: DataFrame, wanted: DataFrame, units: Units) -> DataFrame:
-    """Single starts of the ``wanted`` (doc_id, sig, parts) with the names of both halves of their window."""
-    threshold, half = units.threshold, units.threshold // 2
+def cells_of(
+    prefixes: Prefixes, low: np.ndarray, n: np.ndarray, units: Units
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks cut into cells: block, first start, number of starts, name, hash of all the cell covers."""
+    threshold, cell = units.threshold, units.cell
+    short = max(1, threshold // 3)
+    width = threshold - short + 1
+    wide = n + width - 1
+    at = ranges(low, wide)
+    hashes = prefixes.of(at, at + short)
+    least = np.minimum.reduceat(hashes, np.cumsum(wide) - wide) if len(n) else hashes
+    hit = hashes == np.repeat(least, wide)
+    apart = np.int64(len(prefixes.sums))
+    marks = np.repeat(np.arange(len(n)), wide)[hit] * apart + at[hit]
+    block = np.repeat(np.arange(len(n)), n)
+    start = ranges(low, n)
+    anchor = marks[np.searchsorted(marks, block * apart + start)] - block * apart
+    shared = anchor - (anchor - start) // cell * cell
+    fresh = np.ones(len(start), dtype=bool)
+    fresh[1:] = (block[1:] != block[:-1]) | (shared[1:] != shared[:-1])
+    first = np.flatnonzero(fresh)
+    count = np.diff(np.append(first, len(start)))
+    begin, core = start[first], shared[first]
+    name = prefixes.of(core, core + threshold - cell + 1)
+    return block[first], begin, count, name, prefixes.of(begin, begin + count - 1 + threshold)
+
+
+def starts_of(
+    prefixes: Prefixes, low: np.ndarray, n: np.ndarray, units: Units
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same with single starts, named by both halves of their window."""
+    half, start = units.threshold // 2, ranges(low, n)
+    left, right = prefixes.of(start, start + half), prefixes.of(start + half, start + units.threshold)
+    return np.repeat(np.arange(len(n)), n), start, np.ones(len(start), dtype=np.int64), left, right
+
+
+def cut(rows: DataFrame, wanted: DataFrame, units: Units, finer: Callable) -> DataFrame:
+    """The ``wanted`` stretches of starts (doc_id, sig, lo, n, weight), cut by ``finer`` and named anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,27 +197,30 @@ def halves(rows: DataFrame, wanted: DataFrame, units: Units) -> DataFrame:
                 begins = np.cumsum(sizes) - sizes
                 own = slice(offsets[a], offsets[b])
                 doc = np.repeat(np.arange(b - a), counts[a:b])
-                each = n[own].astype(np.int64)
-                start = ranges(low[own].astype(np.int64), each)
-                doc = np.repeat(doc, each)
-                at = start + begins[doc]
-                prefixes = Prefixes(values)
-                keys = pa.array(doc + a)
+                at, start, each, name, block = finer(
+                    Prefixes(values), low[own] + begins[doc], n[own].astype(np.int64), units
+                )
+                keys = pa.array(doc[at] + a)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(keys),
                         batch.column(1).take(keys),
-                        pa.array(start.astype(np.int32)),
-                        pa.array(np.repeat(weight[own], each).astype(np.int32)),
-                        pa.array(prefixes.of(at, at + half).view(np.int64)),
-                        pa.array(prefixes.of(at + half, at + threshold).view(np.int64)),
+                        pa.array((start - begins[doc[at]]).astype(np.int32)),
+                        pa.array(each.astype(np.int32)),
+                        pa.array(weight[own][at].astype(np.int32)),
+                        pa.array(name.view(np.int64)),
+                        pa.array(block.view(np.int64)),
                     ],
-                    names=["doc_id", "sig", "lo", "weight", "left", "right"],
+                    names=["doc_id", "sig", "lo", "n", "weight", "name", "block"],
                 )
 
-    # A document that comes more than once is cut once: its rows are the same.
-    once = rows.join(wanted, ["doc_id", "sig"]).select("doc_id", "sig", "text", "parts")
-    return once.mapInArrow(run, "doc_id long, sig int, lo int, weight int, left long, right long")
+    key = ["doc_id", "sig"]
+    # The stretches of one document: their number is bounded by its length.
+    parts = wanted.groupBy(*key).agg(F.collect_list(F.struct("lo", "n", "weight")).alias("parts"))
+    # Of repeated rows one is enough, the others hold the same.
+    once = rows.join(parts.select(*key), key, "left_semi").dropDuplicates(key)
+    schema = "doc_id long, sig int, lo int, n int, weight int, name long, block long"
+    return once.join(parts, key).select(*key, "text", "parts").mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
@@ -186,7 +228,7 @@ class Recurring:
     """Where windows recur.
 
     ``copied``: doc_id, sig, lo, n, block, copies, first — every block that has a copy; one of each is first.
-    ``single``: doc_id, sig, lo — every other start of a recurring window.
+    ``single``: doc_id, sig, lo, n — every other run of starts of recurring windows; n is 1 without cells.
     """
 
     copied: DataFrame
@@ -204,18 +246,29 @@ def recurring(rows: DataFrame, units: Units) -> Recurring:
         live.groupBy("name", "block").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("rep"), tied)
     )
     several = distinct.groupBy("name").agg(count, tied).where("m > 1 or tied").select("name")
-    unsettled = (
-        distinct.join(several, "name", "left_semi")
-        .select("rep.*", F.least("copies", F.lit(2)).cast("int").alias("weight"))
-        # The blocks of one document: their number is bounded by its length.
-        .groupBy(*key)
-        .agg(F.collect_list(F.struct("lo", "n", "weight")).alias("parts"))
+    unsettled = distinct.join(several, "name", "left_semi").select(
+        "rep.*", F.least("copies", F.lit(2)).cast("int").alias("weight")
     )
-    # Repeated rows of a key would be counted again; one of them is enough.
-    wanted = rows.join(unsettled.select(*key), key, "left_semi").dropDuplicates(key)
-    starts = materialize(halves(wanted, unsettled, units))
-    again = starts.groupBy("left", "right").agg(F.sum("weight").alias("m")).where("m > 1").select("left", "right")
-    single = starts.where("weight = 1").join(again, ["left", "right"], "left_semi").select(*key, "lo")
+    single = None
+    if units.cell:
+        cells = materialize(cut(rows, unsettled, units, cells_of))
+        # A cell name that only one row has is unique, unless the row stands for copies.
+        shared = cells.groupBy("name").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("name")
+        groups = materialize(
+            cells.join(shared, "name", "left_semi")
+            .groupBy("name", "block")
+            .agg(F.sum("weight").alias("copies"), F.min(place).alias("rep"))
+        )
+        mixed = groups.groupBy("name").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("name")
+        unsettled = groups.join(mixed, "name", "left_semi").select(
+            "rep.*", F.least("copies", F.lit(2)).cast("int").alias("weight")
+        )
+        again = groups.where("copies > 1").select("name", "block")
+        single = cells.where("weight = 1").join(again, ["name", "block"], "left_semi").select(*key, "lo", "n")
+    starts = materialize(cut(rows, unsettled, units, starts_of))
+    again = starts.groupBy("name", "block").agg(F.sum("weight").alias("m")).where("m > 1").select("name", "block")
+    found_single = starts.where("weight = 1").join(again, ["name", "block"], "left_semi").select(*key, "lo", "n")
+    single = found_single if single is None else single.union(found_single)
     copied = live.join(distinct.where("copies > 1").drop("tied"), ["name", "block"]).select(
         *key, "lo", "n", "block", "copies", (place == F.col("rep")).alias("first")
     )

@@ -18,10 +18,9 @@ THRESHOLD = 200
 def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"):
     """(doc_id, sig, text, spans): every row with the intervals of bytes that recurring strings cover, null if none."""
     rows = keyed(docs, id_col, text_col)
-    found = recurring(rows, Units(byte_units, threshold))
-    intervals = found.copied.select("doc_id", "sig", "lo", (F.col("lo") + F.col("n") - 1 + threshold).alias("hi")).union(
-        found.single.select("doc_id", "sig", "lo", (F.col("lo") + threshold).alias("hi"))
-    )
+    found = recurring(rows, Units(byte_units, threshold, max(2, threshold // 16)))
+    covered = ("doc_id", "sig", "lo", (F.col("lo") + F.col("n") - 1 + threshold).alias("hi"))
+    intervals = found.copied.select(*covered).union(found.single.select(*covered))
     return rows.join(spans(intervals), ["doc_id", "sig"], "left")
 
 
