@@ -125,9 +125,12 @@ def best_per_group(
 
 
 def latest_per_group(flat: DataFrame, group: Sequence[str] = ("model_name", "feature_set")) -> DataFrame:
-    """The most recently started run of every group; equal starts go to the lower run id."""
+    """The most recently started run of every group; equal starts go to the lower run id.
+
+    A run without start time comes after all that have one.
+    """
     age = F.expr("-timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', start_time)")
-    return first_by(flat, list(group), [age, "run_id"])
+    return first_by(flat, list(group), [age.isNull(), age, "run_id"])
 
 
 SUMMARY_GROUP = ["model_name", "feature_set", "n_trials_optuna", "tuning_scoring_metric"]

@@ -53,7 +53,7 @@ def _type_of(name: str) -> str:
 
 def _header(spark: SparkSession, path: str) -> list[str]:
     """Column names from the first line; no value is read to guess types."""
-    return spark.read.option("header", True).csv(path, enforceSchema=False).columns
+    return spark.read.option("header", True).csv(path, enforceSchema=False, escape='"').columns
 
 
 def _ddl(kinds: dict[str, str]) -> str:
@@ -75,7 +75,7 @@ def read_listings(spark: SparkSession, path: str, types: dict[str, str] | None =
     types = types or {}
     kinds = {name: types.get(name, _type_of(name)) for name in _header(spark, path)}
     kinds = {name: "string" if kind == "boolean" else kind for name, kind in kinds.items()}
-    df = spark.read.schema(_ddl(kinds)).option("header", True).csv(path, nanValue="NaN")
+    df = spark.read.schema(_ddl(kinds)).option("header", True).csv(path, nanValue="NaN", escape='"')
     df = df.toDF(*[RENAMES.get(c, c) for c in df.columns])
     flags = [RENAMES.get(c, c) for c, k in (LISTING_COLUMNS | types).items() if k == "boolean"]
     df = df.withColumns({c: F.lower(F.col(c)).isin("true", "1") for c in flags if c in df.columns})
@@ -85,7 +85,7 @@ def read_listings(spark: SparkSession, path: str, types: dict[str, str] | None =
 def read_districts(spark: SparkSession, path: str) -> DataFrame:
     """District CSV: ``district`` and numeric ``pano_*`` columns."""
     kinds = {name: "string" if name == "district" else "double" for name in _header(spark, path)}
-    return _clean_nan(spark.read.schema(_ddl(kinds)).csv(path, header=True))
+    return _clean_nan(spark.read.schema(_ddl(kinds)).csv(path, header=True, escape='"'))
 
 
 def read_image_means(spark: SparkSession, path: str, kind: str = "category") -> DataFrame:
@@ -105,7 +105,7 @@ def read_image_means(spark: SparkSession, path: str, kind: str = "category") ->
 def read_image_dummies(spark: SparkSession, path: str) -> DataFrame:
     """Image-category dummies: ``id`` and int ``img_cat_*`` columns."""
     names = _header(spark, path)
-    df = spark.read.schema(_ddl({name: "bigint" if name == "id" else "double" for name in names})).csv(path, header=True)
+    df = spark.read.schema(_ddl({name: "bigint" if name == "id" else "double" for name in names})).csv(path, header=True, escape='"')
     kept: Sequence[str] = [c for c in names if c.startswith("img_cat_")]
     return df.select("id", *[F.col(c).cast("int").alias(c) for c in kept])
 

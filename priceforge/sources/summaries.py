@@ -14,7 +14,7 @@ MAPS = ("params", "tags", "metrics")
 
 def write_summary(summary: DataFrame, path: str) -> None:
     """CSV of the flat summary columns."""
-    summary.drop(*MAPS).write.mode("overwrite").csv(path, header=True)
+    summary.drop(*MAPS).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def write_report(summary: DataFrame, path: str, metric: str = "test_score") -> None:
@@ -25,8 +25,13 @@ def write_report(summary: DataFrame, path: str, metric: str = "test_score") -> N
 
 
 def read_summaries(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """All rows of several summary CSV files, matched by column name."""
+    """All rows of several summary CSV files, matched by column name.
+
+    A single path may be a folder. Its files may differ in order and choice of columns, so each is
+    read by its own header; only their names reach the driver.
+    """
     if isinstance(paths, str):
-        return spark.read.csv(paths, header=True)
-    parts = [spark.read.csv(p, header=True) for p in paths]
+        files = spark.read.format("binaryFile").load(paths).where("length > 0").select("path").orderBy("path")
+        paths = [r.path for r in files.collect()] or [paths]
+    parts = [spark.read.csv(p, header=True, escape='"') for p in paths]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

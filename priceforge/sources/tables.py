@@ -29,4 +29,4 @@ def read_split(spark: SparkSession, path: str, split: str | None = None) -> Data
 
 def export_columns(df: DataFrame, columns: Sequence[str], path: str, mode: str = "errorifexists") -> None:
     """CSV of chosen columns."""
-    df.select(*columns).write.mode(mode).csv(path, header=True)
+    df.select(*columns).write.mode(mode).csv(path, header=True, escape='"')
