@@ -211,7 +211,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     width = shuffle_width(docs.sparkSession)
     shares = [i / width for i in range(1, width)] or [0.5]
     cuts = rows.agg(F.percentile_approx("doc_id", shares, 100 * width).alias("cuts")).first().cuts
-    limits = [-float("inf"), *sorted({float(c) for c in cuts or []}), float("inf")]
+    # An empty table has no quantile, and any one cut will do.
+    limits = [-float("inf"), *sorted({float(c) for c in cuts or [0]}), float("inf")]
     placed = (
         Bucketizer(splits=limits, inputCol="_id", outputCol="_range")
         .transform(rows.withColumn("_id", F.col("doc_id").cast("double")))
