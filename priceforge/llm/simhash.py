@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from priceforge.llm.components import connected_components
 from priceforge.llm.corpus import id_and_text
 from priceforge.llm.rolling import pieces
+from priceforge.llm.similar import similar_links, with_bands
 from priceforge.operators.joins import lookup_join
 from priceforge.session import materialize
 
@@ -203,18 +204,47 @@ def _keys(distinct: DataFrame, chosen: list[tuple[list[int], int]], ball: bool)
     return distinct.select("fp", F.explode(F.array(*entries)).alias("_e")).select("_e.part", "_e.key", "fp")
 
 
-def neighbour_links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all fingerprints within 2 bits, without comparing pairs.
+def neighbour_links(distinct: DataFrame, distance: int = 2) -> DataFrame:
+    """Links (a, b) that connect all fingerprints within ``distance`` bits, without comparing pairs.
 
-    Each fingerprint is listed under itself and under its 64 one-bit neighbours. Two that stand
-    under one number differ in 2 bits at most, and any two within 2 bits stand under a common one.
-    At most 65 stand under a number; each is linked to the smallest of them.
+    Each fingerprint is listed under all numbers within half the distance, for an odd distance also,
+    as an outer one, under those one bit further. Two under one number, not both outer, are
+    within the distance, and any two within it stand so under a common number. Each is linked to the
+    smallest that is not outer. What stands under a number, and the cost, is bounded by the ball.
     """
-    spots = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(_mask([b])) for b in range(BITS)])
-    under = distinct.select("fp", F.explode(spots).alias("spot"))
-    groups = under.groupBy("spot").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
+    half = distance // 2
+
+    def masks(bits: int) -> list[int]:
+        return [sum(1 << b for b in c) for c in combinations(range(BITS), bits)]
+
+    inner = [m for k in range(half + 1) for m in masks(k)]
+    outer = masks(half + 1) if distance % 2 else []
+    changes = np.array([*inner, *outer], dtype=np.uint64)
+    is_inner = np.arange(len(changes)) < len(inner)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, _CHUNK // 8 // len(changes))
+        for batch in batches:
+            values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for start in range(0, len(values), step):
+                some = values[start : start + step]
+                spots = (some[:, None] ^ changes[None, :]).ravel()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(some, len(changes)).view(np.int64)),
+                        pa.array(spots.view(np.int64)),
+                        pa.array(np.tile(is_inner, len(some))),
+                    ],
+                    names=["fp", "spot", "inner"],
+                )
+
+    under = distinct.select("fp").mapInArrow(run, "fp long, spot long, inner boolean")
+    groups = under.groupBy("spot").agg(
+        F.collect_list("fp").alias("members"), F.min(F.when(F.col("inner"), F.col("fp"))).alias("a")
+    )
     return (
-        groups.select(F.array_min("members").alias("a"), F.explode("members").alias("b"))
+        groups.where((F.size("members") > 1) & F.col("a").isNotNull())
+        .select("a", F.explode("members").alias("b"))
         .where("a <> b")
         .distinct()
     )
@@ -244,43 +274,63 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
         .distinct()
     )
     crowded = probes.where("large").select("fp").distinct()
-    if distance != 2 or crowded.isEmpty():
-        if distance != 2 and not crowded.isEmpty():
-            raise ValueError("large buckets are only split for a distance of 2")
+    if crowded.isEmpty():
         return small
-    return small.unionByName(neighbour_links(crowded)).distinct()
+    return small.unionByName(neighbour_links(crowded, distance)).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 3,
+    distance: int = 2,
+    similarity: float | None = None,
+) -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id.
 
-    A-Z become lower case; the fingerprint is taken over all shingles of three words, repeats
+    A-Z become lower case; the fingerprint is taken over all shingles of ``words`` words, repeats
     included, or the whole sequence of a shorter text. A null, empty or blank text has fingerprint
     zero and is linked like any other. Repeated rows give repeated rows, an empty table an empty
     result. ``component_id`` is the smallest id that links reach.
 
-    Links are sought between distinct fingerprints, so copies are never paired. Buckets of more than
-    ``LARGE`` fingerprints are solved by listing neighbours, whose cost is linear.
+    Links join fingerprints that differ in at most ``distance`` bits. With ``similarity`` the distance is not
+    looked at: they join texts whose sets of shingles have at least that Jaccard similarity, and
+    ``fingerprint`` names the set (``similar.py``).
+    Links are sought between distinct fingerprints or sets, so copies are never paired. Buckets of more
+    than ``LARGE`` fingerprints are solved by listing neighbours, whose cost is linear.
     """
-    marked = materialize(with_fingerprints(id_and_text(docs, id_col, text_col)))
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("smallest")))
+    rows = id_and_text(docs, id_col, text_col)
+    if similarity is None:
+        marked = materialize(with_fingerprints(rows, words).withColumn("unit", F.col("fp")))
+        distinct = materialize(marked.groupBy("unit").agg(F.min("doc_id").alias("smallest")))
+    else:
+        marked = materialize(with_bands(rows, words))
+        distinct = materialize(
+            marked.groupBy("unit").agg(F.min("doc_id").alias("smallest"), F.first("bands").alias("bands"))
+        )
     if distinct.isEmpty():
         return marked.select("doc_id", F.lit("").alias("fingerprint"), F.col("doc_id").alias("component_id"))
-    roots = connected_components(links(distinct))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "smallest", F.coalesce("root", "fp").alias("root")
+    if similarity is None:
+        near = links(distinct.select(F.col("unit").alias("fp"), "smallest"), distance)
+    else:
+        near = similar_links(rows, distinct, words, similarity)
+    roots = connected_components(near)
+    rooted = distinct.join(roots.withColumnRenamed("node", "unit"), "unit", "left").select(
+        "unit", "smallest", F.coalesce("root", "unit").alias("root")
     )
     reached = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    of_fp = materialize(rooted.join(reached, "root").select("fp", "component_id"))
-    return marked.join(of_fp, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    of_unit = materialize(rooted.join(reached, "root").select("unit", "component_id"))
+    name = F.lower(F.lpad(F.hex("fp"), 16, "0")) if similarity is None else F.col("unit")
+    return marked.join(of_unit, "unit").select("doc_id", name.alias("fingerprint"), "component_id")
 
 
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
+def without_near_duplicates(
+    docs: DataFrame, words: int = 3, distance: int = 2, similarity: float | None = None
+) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component; rows without id stay."""
     gone = (
-        near_duplicates(docs)
+        near_duplicates(docs, words=words, distance=distance, similarity=similarity)
         .where("doc_id <> component_id")
         .select(F.col("doc_id").alias("_gone"))
         .distinct()

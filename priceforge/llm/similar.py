@@ -1,0 +1,159 @@
+"""Links between texts whose sets of shingles have at least a given Jaccard similarity.
+
+A SimHash of 64 bits is too coarse for a similarity of 0.8: such pairs differ in about 10 bits, and a
+pigeonhole over so many bits lists more than all pairs. Candidates therefore come from ``BANDS``
+independent fingerprints, each over the minima of ``ROWS`` permutations of the shingles. Two texts
+of similarity s share one of them with a chance of ``1 - (1 - s**ROWS)**BANDS``, 0.999 at s = 0.8. Every
+candidate is then judged by its true similarity.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from priceforge.llm.rolling import mixed, pieces
+from priceforge.operators.joins import lookup_join
+from priceforge.session import materialize
+
+BANDS, ROWS = 24, 6
+SEED = 42
+#: Up to so many texts under one fingerprint are compared pair by pair.
+LARGE = 64
+_CHUNK = 1 << 21
+_RANDOM = np.random.default_rng(SEED)
+_XOR = _RANDOM.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64)
+_TIMES = _RANDOM.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
+    """The sorted hashes of each text's distinct shingles; a shorter text is one shingle, a blank one has none."""
+    digest = xxhash.xxh64_intdigest
+    out = []
+    for text in texts:
+        found = text.lower().split()
+        joined = b" ".join(found)
+        if len(found) <= words:
+            hashes = [digest(joined, SEED)] if found else []
+        else:
+            ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+            starts = [0, *(ends[:-words] + 1).tolist()]
+            hashes = [digest(joined[x:y], SEED) for x, y in zip(starts, ends[words - 1 :].tolist())]
+        out.append(np.unique(np.array(hashes, dtype=np.uint64)))
+    return out
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of ``BANDS`` fingerprints for each set; no set may be empty."""
+    first = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]]).astype(np.int64)
+    hashes = np.concatenate(sets)
+    keys = np.zeros((len(sets), BANDS), dtype=np.uint64)
+    for band in range(BANDS):
+        for row in range(ROWS):
+            least = np.minimum.reduceat((hashes ^ _XOR[band, row]) * _TIMES[band, row], first)
+            keys[:, band] = mixed(keys[:, band] + least + np.uint64(row))
+    return keys
+
+
+def _unit(found: np.ndarray) -> str:
+    return xxhash.xxh3_128_hexdigest(found.tobytes())
+
+
+def with_bands(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, unit, bands) of documents of (doc_id, text); ``unit`` names the set of shingles by 128 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            units: list[str] = []
+            bands: list[list[int]] = []
+            for a, b in pieces(map(len, texts), _CHUNK):
+                sets = shingle_sets(texts[a:b], words)
+                full = [s for s in sets if len(s)]
+                keys = iter(band_keys(full).view(np.int64).tolist() if full else [])
+                units += map(_unit, sets)
+                bands += [next(keys) if len(s) else [] for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(units, pa.string()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", "unit", "bands"],
+            )
+
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
+        run, "doc_id long, unit string, bands array<long>"
+    )
+
+
+def _with_sets(docs: DataFrame, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in pieces(map(len, texts), _CHUNK):
+                sets = shingle_sets(texts[a:b], words)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(list(map(_unit, sets)), pa.string()),
+                        pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                    ],
+                    names=["unit", "shingles"],
+                )
+
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "unit string, shingles array<long>")
+
+
+def _judged(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of at least the given similarity."""
+    x = sets.select(F.col("unit").alias("a"), F.col("shingles").alias("_x"))
+    y = sets.select(F.col("unit").alias("b"), F.col("shingles").alias("_y"))
+    both = F.size(F.array_intersect("_x", "_y"))
+    enough = both >= F.lit(similarity) * (F.size("_x") + F.size("_y") - both) - 1e-9
+    return pairs.join(x, "a").join(y, "b").where(enough).select("a", "b")
+
+
+def similar_links(docs: DataFrame, distinct: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) between the units of ``distinct``, (unit, smallest, bands), that are similar enough.
+
+    ``docs`` are the documents (doc_id, text) behind them. Where more than ``LARGE`` stand under
+    one fingerprint, all are compared to its centre, the one that shares its fingerprints with the most texts.
+    Those unlike the centre go on among themselves, with twice as many centres each round, until none is left.
+    """
+    rows = distinct.select("unit", F.posexplode("bands").alias("band", "key"))
+    sizes = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialize(lookup_join(rows, sizes, ["band", "key"], ["unit"], "inner"))
+    weights = shared.groupBy("unit").agg(F.sum("n").alias("weight"))
+    members = materialize(shared.drop("n").join(weights, "unit"))
+    needed = materialize(weights.join(distinct, "unit").select("unit", "smallest"))
+    texts = docs.join(needed.select(F.col("smallest").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = materialize(
+        _with_sets(texts, words).join(needed.select("unit"), "unit", "left_semi").dropDuplicates(["unit"])
+    )
+    found: DataFrame | None = None
+    centres = 1
+    while True:
+        first = F.max(F.struct("weight", "unit"))["unit"]
+        more = [F.min(F.struct(F.xxhash64("unit", F.lit(j)).alias("h"), "unit"))["unit"] for j in range(1, centres)]
+        buckets = members.groupBy("band", "key").agg(
+            F.count(F.lit(1)).alias("n"), F.array_distinct(F.array(first, *more)).alias("centres")
+        )
+        dealt = materialize(lookup_join(members, buckets.where("n > 1"), ["band", "key"], ["unit"], "inner"))
+        few = dealt.where(F.col("n") <= LARGE)
+        x = few.select("band", "key", F.col("unit").alias("a"))
+        y = few.select(F.col("band").alias("_band"), F.col("key").alias("_key"), F.col("unit").alias("b"))
+        near = x.join(y, [x["band"] == y["_band"], x["key"] == y["_key"], x["a"] < y["b"]]).select("a", "b")
+        many = dealt.where(F.col("n") > LARGE).where(~F.array_contains("centres", F.col("unit")))
+        spokes = many.select("band", "key", "unit", "weight", F.explode("centres").alias("centre")).withColumns(
+            {"a": F.least("unit", "centre"), "b": F.greatest("unit", "centre")}
+        )
+        links = materialize(_judged(near.union(spokes.select("a", "b")).distinct(), sets, similarity))
+        found = links if found is None else found.union(links)
+        if many.isEmpty():
+            return found.distinct()
+        alike = spokes.join(links, ["a", "b"]).select("band", "key", "unit").distinct()
+        members = materialize(
+            many.select("band", "key", "unit", "weight").join(alike, ["band", "key", "unit"], "left_anti")
+        )
+        centres = min(2 * centres, 32)

@@ -1,0 +1,100 @@
+"""Near copies of a similarity of 0.8 over five words, against all pairs."""
+
+import random
+import re
+
+import pytest
+
+import corpus_pipeline
+from priceforge.llm import simhash
+from priceforge.llm.corpus import documents
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def shingles(text, n=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return frozenset(" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1)))
+
+
+def planted(spark):
+    """Texts, each followed by copies with 1 to 8 neighbouring words replaced."""
+    rng = random.Random(3)
+    base = [r.text for r in documents(spark, SMALL).collect() if r.text and 60 < len(r.text.split()) < 2000][:120]
+    texts = []
+    for text in base:
+        texts.append(text)
+        for edit in (1, 2, 4, 8):
+            words = text.split(" ")
+            at = rng.randrange(max(1, len(words) - edit))
+            words[at : at + edit] = [f"zz{rng.random()}" for _ in range(edit)]
+            texts.append(" ".join(words))
+    return texts
+
+
+def linked_by_all_pairs(sets, similarity=0.8):
+    root = list(range(len(sets)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            least, most = sorted((len(sets[i]), len(sets[j])))
+            if least >= similarity * most:
+                both = len(sets[i] & sets[j])
+                if both >= similarity * (least + most - both):
+                    a, b = sorted((top(i), top(j)))
+                    root[b] = a
+    return [top(i) for i in range(len(sets))]
+
+
+def test_stage_removes_planted_near_copies(spark):
+    texts = planted(spark)
+    roots = linked_by_all_pairs([shingles(t) for t in texts])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, SMALL)
+    kept = {r.doc_id for r in kept.collect()}
+    expected = set(roots)
+    assert expected <= kept, "a text without a near copy was removed"
+    print("planted copies", len(texts) - len(expected), "removed", len(texts) - len(kept))
+    assert len(kept - expected) <= 0.005 * (len(texts) - len(expected))
+
+
+def test_many_texts_under_one_fingerprint(spark):
+    """200 variants of one text, alike only through it, and a second family that is unlike them."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    other = [f"v{i}" for i in range(360)]
+    texts = [" ".join(base), " ".join(other)]
+    for words in (base, other):
+        for i in range(200):
+            at = rng.randrange(len(words) - 60)
+            texts.append(" ".join([*words[:at], *(f"{words[0]}x{i}y{j}" for j in range(30)), *words[at + 30 :]]))
+    roots = linked_by_all_pairs([shingles(t) for t in texts])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, words=5, similarity=0.8).collect()}
+    assert [found[i] for i in range(len(texts))] == roots
+
+
+@pytest.mark.parametrize("distance", [1, 3, 4])
+def test_large_buckets_at_other_distances(spark, distance):
+    rng = random.Random(distance)
+    values = {rng.getrandbits(10) for _ in range(600)}
+    values |= {v ^ sum(1 << b for b in rng.sample(range(10, 64), distance)) for v in list(values)[:60]}
+    signed = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+    links = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"), distance).collect()}
+    apart = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count()
+    assert all(apart(a, b) <= distance for a, b in links)
+    root = {s: s for s in signed}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        root[top(a)] = top(b)
+    assert all(top(a) == top(b) for a in signed for b in signed if apart(a, b) <= distance)
