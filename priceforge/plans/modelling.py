@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from priceforge.operators import attribute, images, select, tune
 from priceforge.operators.image_pca import ImageReducer
-from priceforge.operators.models import SEARCH_SPACES, configure
+from priceforge.operators.models import DEFAULTS, MAX_DEPTH, SEARCH_SPACES, configure
 from priceforge.operators.prepare import Prepared, prepare_feature_set
 from priceforge.operators.split import stratified_split
 from priceforge.plans import fixtures as fx
@@ -22,7 +22,9 @@ SELECTED = [
     "rooms_number", "building_floors_num", "building_type_BUILDING", "heating_5-LOW", "neighborhood_ASIA", "not_there",
 ]
 METADATA = {"images_handled_separately": True, "include_location_features": True}
-FAST = {"maxDepth": 4, "maxBins": 32}
+#: Selection forests grow unbounded: as deep as Spark allows.
+DEEP = {"maxDepth": MAX_DEPTH}
+TRIALS, FOLDS = 100, 5
 DROPPED = [
     "transaction_type", "estate", "date_created", "pushed_up_at", "const_col", "all_null_col", "price_per_m2",
     "latitude", "longitude", "building_year",
@@ -69,17 +71,17 @@ def _selected(spark: SparkSession, sf_dir: str, method: str, **settings) -> Data
 
 @query("select_forest")
 def select_forest(spark, sf_dir):
-    return _selected(spark, sf_dir, "rf", trees=20, maxDepth=5)
+    return _selected(spark, sf_dir, "rf", **DEEP)
 
 
 @query("select_rfe")
 def select_rfe(spark, sf_dir):
-    return _selected(spark, sf_dir, "rfe", n_features=6, step=0.3, trees=10, maxDepth=4)
+    return _selected(spark, sf_dir, "rfe", n_features=6, **DEEP)
 
 
 @query("select_rfecv")
 def select_rfecv(spark, sf_dir):
-    return _selected(spark, sf_dir, "rfecv", subset="base", step=0.4, trees=5, maxDepth=4)
+    return _selected(spark, sf_dir, "rfecv", **DEEP)
 
 
 @query("select_elastic_net")
@@ -94,32 +96,29 @@ def select_lasso(spark, sf_dir):
 
 @query("model_catalogue")
 def model_catalogue(spark, sf_dir):
-    """Test metrics of each regressor with a few trees."""
+    """Metrics of each regressor with the hyperparameters of an untuned run."""
     ready = prepared(spark, sf_dir)
     rows = []
     for name in SEARCH_SPACES:
-        small = configure(name, {"n_estimators": 8, "learning_rate": 0.1} if name != "RandomForest" else {"n_estimators": 8}, **FAST)
-        metrics = tune.fit_final(ready, small)[1]
+        metrics = tune.fit_final(ready, configure(name, DEFAULTS[name]))[1]
         rows += [(name, m, float(v)) for m, v in metrics.items()]
     return spark.createDataFrame(rows, "model string, metric string, value double")
 
 
 @query("random_search")
 def random_search(spark, sf_dir):
-    """Trials of a short search, read back from the trials table."""
-    folded = tune.fold_table(prepared(spark, sf_dir), 3, fx.SEED)
+    """Trials of a search, read back from the trials table."""
+    folded = tune.fold_table(prepared(spark, sf_dir), FOLDS, fx.SEED)
     path = scratch(spark, "trials")
-    tune.random_search(
-        folded, "RandomForest", 3, "RandomForest_demo_study", folds=3, trials_path=path, batch=3, rounds=0.01, **FAST
-    )
+    tune.random_search(folded, "RandomForest", TRIALS, "RandomForest_demo_study", folds=FOLDS, trials_path=path)
     return tune.read_trials(spark, path)
 
 
 @query("final_fit")
 def final_fit(spark, sf_dir):
     """Metrics of a single-model run with metrics per fold."""
-    params = {"n_estimators": 10, "min_samples_leaf": 2}
-    _, row, _ = tune.train_single(prepared(spark, sf_dir), "RandomForest", params, "demo", folds=3, **FAST)
+    params = DEFAULTS["RandomForest"]
+    _, row, _ = tune.train_single(prepared(spark, sf_dir), "RandomForest", params, "demo", folds=FOLDS)
     return spark.createDataFrame(list(row["metrics"].items()), "metric string, value double")
 
 
@@ -127,24 +126,24 @@ def final_fit(spark, sf_dir):
 def attribution_global(spark, sf_dir):
     """Mean absolute attribution of every feature over all test rows."""
     ready = prepared(spark, sf_dir)
-    model, _ = tune.fit_final(ready, configure("RandomForest", {"n_estimators": 10}, **FAST))
+    model, _ = tune.fit_final(ready, configure("RandomForest", DEFAULTS["RandomForest"]))
     test = ready.rows.where(F.col("split") == "test")
     return attribute.attribution_global(attribute.attributions(model, test, ready.names))
 
 
 @query("sweep")
 def sweep(spark, sf_dir):
-    """Runs of a small sweep; the second feature set fails and is logged as such."""
+    """Runs of a sweep over all models; the second feature set fails and is logged as such."""
     path = scratch(spark, "sweep")
     sets = {
         "good": lambda: prepared(spark, sf_dir),
         "bad": lambda: prepare_feature_set(split_table(spark, sf_dir), ["missing"], {}),
     }
-    rows = tune.sweep(spark, sets, ["RandomForest"], path, folds=2, n_trials=2, rounds=0.01, **FAST)
+    rows = tune.sweep(spark, sets, list(SEARCH_SPACES), path, folds=FOLDS, n_trials=TRIALS)
     cells = [(r["run_name"], r["status"], r["metrics"].get("test_final_mape")) for r in rows]
     return spark.createDataFrame(cells, "run_name string, status string, test_final_mape double")
 
 
 @query("param_importance")
 def param_importance(spark, sf_dir):
-    return attribute.param_importance(fx.trials(spark, sf_dir), ["k", "booster"], trees=10)
+    return attribute.param_importance(fx.trials(spark, sf_dir), ["k", "booster"])
