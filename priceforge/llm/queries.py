@@ -6,6 +6,7 @@ import corpus_pipeline
 from priceforge.llm import (
     exact_dedup,
     fingerprints,
+    hard_negatives,
     packing,
     phrase_dedup,
     quality,
@@ -80,4 +81,34 @@ def op8_substring_dedup(spark, sf_dir):
     return phrase_dedup.removed(documents(spark, sf_dir)).drop("kept")
 
 
+@query(
+    "op13_hard_negatives",
+    """
+    WITH r AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    ), s AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+            CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+        FROM r AS a JOIN r AS b ON a.vec_id <> b.vec_id
+        WHERE a.vec_id % 50 = 0
+    ), p AS (
+        SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+    )
+    SELECT p.anchor_id, p.positive_id,
+        CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) AS INTEGER) AS rank,
+        s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+        AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+    QUALIFY rank <= 3
+    """,
+)
+def op13_hard_negatives(spark, sf_dir):
+    return hard_negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
