@@ -9,6 +9,7 @@ from priceforge.llm import (
     hard_negatives,
     packing,
     phrase_dedup,
+    prefix_trie,
     quality,
     sentencepiece_codec,
     sharding,
@@ -81,6 +82,50 @@ def op8_substring_dedup(spark, sf_dir):
     return phrase_dedup.removed(documents(spark, sf_dir)).drop("kept")
 
 
+@query(
+    "op12_conversation_prefix_trie",
+    r"""
+    WITH t AS (
+        SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS turn, turn AS nr
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), l AS (
+        SELECT conv_id, list(turn ORDER BY nr NULLS FIRST, turn.role, turn.text) AS turns FROM t GROUP BY conv_id
+    ), h AS (
+        SELECT conv_id, turns, xor(list_reduce(
+            list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+            lambda crc, c: list_reduce(
+                range(8), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(crc, c)
+            ),
+            4294967295
+        ), 4294967295) % 4 AS h FROM l
+    ), r AS (
+        SELECT h.conv_id, list_concat(coalesce(b.turns[1:h.h], []), h.turns[h.h + 1:]) AS turns
+        FROM h LEFT JOIN l AS b ON b.conv_id = h.conv_id - h.conv_id % 20
+    ), p AS (
+        SELECT conv_id, len(turns) AS length, d AS depth, turns[1:d] AS key FROM r, unnest(range(len(turns) + 1)) AS u(d)
+    ), n AS (
+        SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+            sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (length = depth), '')) AS ends_sha256,
+            CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(key[depth].text, '[^\x20\x09-\x0D]+')) END AS own
+        FROM p GROUP BY key, depth
+    ), c AS (
+        SELECT key[1:depth - 1] AS key, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL
+    ), m AS (
+        SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c ON c.key = n.key AND c.depth = n.depth
+    ), a AS (
+        SELECT key[1:d] AS key, d AS depth, sum(own) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+        FROM m, unnest(range(depth + 1)) AS u(d) GROUP BY ALL
+    )
+    SELECT m.conv_id, m.depth, b.conv_id AS parent_conv_id, m.n_convs, m.n_children, a.n_leaves,
+        CAST(a.saved_tokens AS BIGINT) AS saved_tokens, m.ends_sha256
+    FROM m JOIN a ON a.key = m.key AND a.depth = m.depth
+    LEFT JOIN n AS b ON m.depth > 0 AND b.key = m.key[1:m.depth - 1] AND b.depth = m.depth - 1
+    """,
+)
+def op12_conversation_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 @query(
     "op13_hard_negatives",
     """
