@@ -7,6 +7,7 @@ from priceforge.llm import (
     exact_dedup,
     fingerprints,
     hard_negatives,
+    license_scan,
     packing,
     phrase_dedup,
     prefix_trie,
@@ -82,6 +83,11 @@ def op8_substring_dedup(spark, sf_dir):
     return phrase_dedup.removed(documents(spark, sf_dir)).drop("kept")
 
 
+@query("op11_license_scan")
+def op11_license_scan(spark, sf_dir):
+    return license_scan.license_scan(documents(spark, sf_dir))
+
+
 @query(
     "op12_conversation_prefix_trie",
     r"""
