@@ -56,4 +56,15 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/priceforge/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a stored table that nothing will read again."""
+    path = getattr(df, "stored_at", None)
+    if path:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
