@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from priceforge.operators import attribute, images, select, tune
 from priceforge.operators.image_pca import ImageReducer
-from priceforge.operators.models import DEFAULTS, MAX_DEPTH, SEARCH_SPACES, configure
+from priceforge.operators.models import DEFAULTS, SEARCH_SPACES, configure
 from priceforge.operators.prepare import Prepared, prepare_feature_set
 from priceforge.operators.split import stratified_split
 from priceforge.plans import fixtures as fx
@@ -22,8 +22,6 @@ SELECTED = [
     "rooms_number", "building_floors_num", "building_type_BUILDING", "heating_5-LOW", "neighborhood_ASIA", "not_there",
 ]
 METADATA = {"images_handled_separately": True, "include_location_features": True}
-#: Selection forests grow unbounded: as deep as Spark allows.
-DEEP = {"maxDepth": MAX_DEPTH}
 TRIALS, FOLDS = 100, 5
 DROPPED = [
     "transaction_type", "estate", "date_created", "pushed_up_at", "const_col", "all_null_col", "price_per_m2",
@@ -71,17 +69,17 @@ def _selected(spark: SparkSession, sf_dir: str, method: str, **settings) -> Data
 
 @query("select_forest")
 def select_forest(spark, sf_dir):
-    return _selected(spark, sf_dir, "rf", **DEEP)
+    return _selected(spark, sf_dir, "rf")
 
 
 @query("select_rfe")
 def select_rfe(spark, sf_dir):
-    return _selected(spark, sf_dir, "rfe", n_features=6, **DEEP)
+    return _selected(spark, sf_dir, "rfe", n_features=6)
 
 
 @query("select_rfecv")
 def select_rfecv(spark, sf_dir):
-    return _selected(spark, sf_dir, "rfecv", **DEEP)
+    return _selected(spark, sf_dir, "rfecv")
 
 
 @query("select_elastic_net")

@@ -39,13 +39,14 @@ def asked(monkeypatch, owner, name, query):
 @pytest.mark.parametrize("query", ["select_forest", "select_rfe", "select_rfecv"])
 def test_selection_forests(spark, monkeypatch, query):
     _, settings = asked(monkeypatch, modelling.select, "run_selection", query)
-    assert settings.get("trees", 200) == 200 and settings["maxDepth"] == 30
+    assert settings.get("trees", 200) == 200 and "depth" not in settings
+    assert modelling.select._forest(200, 1).depth is None
     assert settings.get("subset", "all") == "all" and settings.get("step", 10) == 10
 
 
 def test_search(monkeypatch):
     args, settings = asked(monkeypatch, modelling.tune, "random_search", "random_search")
-    assert args[2] == 100 and settings["folds"] == 5 and settings.get("rounds", 1.0) == 1.0 and "maxDepth" not in settings
+    assert args[2] == 100 and settings["folds"] == 5 and settings.get("rounds", 1.0) == 1.0 and "depth" not in settings
     args, _ = asked(monkeypatch, modelling.tune, "fold_table", "random_search")
     assert args[1] == 5
 
@@ -62,5 +63,4 @@ def test_single_fits(monkeypatch):
     for query in ("model_catalogue", "attribution_global"):
         (_, configured), _ = asked(monkeypatch, modelling.tune, "fit_final", query)
         name = "LightGBM" if query == "model_catalogue" else "RandomForest"
-        trees = configured.applied["maxIter" if name == "LightGBM" else "numTrees"]
-        assert trees == DEFAULTS[name]["n_estimators"]
+        assert configured.settings.trees == DEFAULTS[name]["n_estimators"]
