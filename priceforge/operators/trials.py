@@ -81,7 +81,10 @@ def trial_slices(trials: DataFrame) -> DataFrame:
 
 
 def param_range(trials: DataFrame) -> DataFrame:
-    """Per study and parameter: numeric range, or number of different values if not numeric."""
+    """Per study and parameter: range of its numbers, or number of different values if none is a number.
+
+    Texts beside numbers do not count for the range.
+    """
     cells = trials.select("study", F.explode("params").alias("param", "raw"))
     number = F.col("raw").try_cast("double")
     by_value = cells.groupBy("study", "param", "raw").agg(F.count(F.lit(1)).alias("_n"))
@@ -89,9 +92,8 @@ def param_range(trials: DataFrame) -> DataFrame:
         F.min(number).alias("min_value"),
         F.max(number).alias("max_value"),
         F.count(F.lit(1)).alias("n_values"),
-        F.count_if(number.isNull()).alias("_text"),
     )
-    numeric = F.col("_text") == 0
+    numeric = F.col("min_value").isNotNull()
     return stats.select(
         "study",
         "param",

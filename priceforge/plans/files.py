@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from priceforge.functions.columns import keep_selected, normalise_names as normalise, select_columns
 from priceforge.operators import clean, runs as ops, split
@@ -23,19 +24,22 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 @query(
     "listings_csv_scan",
-    """SELECT id, price, area_m2, district, latitude, rooms_number, building_floors_num, is_private_owner, heating
-    FROM listings_raw WHERE src_seq = 0""",
+    """SELECT id, price, area_m2, district, latitude, rooms_number, building_floors_num, is_private_owner, heating,
+      row_number() OVER (PARTITION BY id ORDER BY src_seq) AS place
+    FROM listings_raw""",
     ("listings_raw",),
 )
 def listings_csv_scan(spark, sf_dir):
-    """Raw listings with the file's own column names, written as CSV and scanned."""
+    """Raw listings, second copies included, as several CSV files with their own column names, scanned in file order."""
     dotted = {short: long for long, short in clean.RENAMES.items()}
-    raw = fx.listings_raw(spark, sf_dir).where("src_seq = 0").drop("src_seq", "const_col", "all_null_col")
+    raw = fx.listings_raw(spark, sf_dir).orderBy("src_seq", "id").drop("src_seq", "const_col", "all_null_col")
     raw = raw.withColumnsRenamed({k: v for k, v in dotted.items() if k in raw.columns})
     path = scratch(spark, "listings")
     raw.withColumn("Unnamed: 0", F.col("id")).write.csv(path, header=True)
-    return listings.read_listings(spark, path).select(
-        "id", "price", "area_m2", "district", "latitude", "rooms_number", "building_floors_num", "is_private_owner", "heating"
+    read = listings.read_listings(spark, path)
+    place = F.row_number().over(Window.partitionBy("id").orderBy("src_seq")).cast("long").alias("place")
+    return read.select(
+        "id", "price", "area_m2", "district", "latitude", "rooms_number", "building_floors_num", "is_private_owner", "heating", place
     )
 
 

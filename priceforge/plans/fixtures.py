@@ -143,7 +143,7 @@ def exclude_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def image_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
-        ((F.col("vec_id") % 125) * 3 + 1).alias("id"),
+        (F.floor(F.col("vec_id") / 4) * 3 + 1).alias("id"),
         _pick(CATEGORIES, F.col("label")).alias("category"),
         F.col("embedding").alias("features"),
     )
@@ -191,7 +191,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "model_name": F.when(e % 3 != 0, model),
         "feature_set": F.when(e % 4 != 1, sets),
         "feature_set_file": F.when(e % 8 == 1, sets),
-        "n_trials_optuna": F.when(e % 2 == 0, "50").otherwise("100"),
+        "n_trials_optuna": F.when(F.floor(e / 2) % 2 == 0, "50").otherwise("100"),
         "tuning_scoring_metric": metric,
         "cv_folds": F.when(e % 6 != 0, "5"),
         "learning_rate": text(F.col("value")),

@@ -88,12 +88,12 @@ def floor_ordinal(spark, sf_dir):
 
 @query(
     "parse_dates",
-    """SELECT id, CAST(date_created AS TIMESTAMP) AS date_created,
-      TRY_CAST(pushed_up_at AS TIMESTAMP) AS pushed_up_at FROM listings_raw WHERE src_seq = 0""",
+    """SELECT id, src_seq, CAST(date_created AS TIMESTAMP) AS date_created,
+      TRY_CAST(pushed_up_at AS TIMESTAMP) AS pushed_up_at FROM listings_raw""",
     ("listings_raw",),
 )
 def parse_dates(spark, sf_dir):
-    raw = fx.listings_raw(spark, sf_dir).where("src_seq = 0").select("id", "date_created", "pushed_up_at")
+    raw = fx.listings_raw(spark, sf_dir).select("id", "src_seq", "date_created", "pushed_up_at")
     return clean.parse_dates(raw, strict=["date_created"], lenient=["pushed_up_at"])
 
 

@@ -69,17 +69,24 @@ def _clean_nan(df: DataFrame) -> DataFrame:
 def read_listings(spark: SparkSession, path: str, types: dict[str, str] | None = None) -> DataFrame:
     """Listings CSV with an explicit schema and dotted location names shortened.
 
-    ``types`` adds or overrides column types. The stray index column is dropped. ``src_seq``
-    numbers the rows in file order, for keep-first deduplication.
+    ``types`` adds or overrides column types. The stray index column is dropped. ``src_seq`` orders the rows by
+    file name and place in the file, for keep-first deduplication. A file whose header differs from that of the
+    first one is an error.
     """
     types = types or {}
     kinds = {name: types.get(name, _type_of(name)) for name in _header(spark, path)}
     kinds = {name: "string" if kind == "boolean" else kind for name, kind in kinds.items()}
-    df = spark.read.schema(_ddl(kinds)).option("header", True).csv(path, nanValue="NaN", escape='"')
-    df = df.toDF(*[RENAMES.get(c, c) for c in df.columns])
+    df = spark.read.schema(_ddl(kinds)).csv(path, header=True, enforceSchema=False, nanValue="NaN", escape='"')
+    # Numbers of rows rise within a split; splits of a file begin one behind the other.
+    order = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    df = df.select(*[F.col(f"`{c}`").alias(RENAMES.get(c, c)) for c in df.columns], order.alias("src_seq"))
     flags = [RENAMES.get(c, c) for c, k in (LISTING_COLUMNS | types).items() if k == "boolean"]
     df = df.withColumns({c: F.lower(F.col(c)).isin("true", "1") for c in flags if c in df.columns})
-    return _clean_nan(df.drop(STRAY_INDEX)).withColumn("src_seq", F.monotonically_increasing_id())
+    return _clean_nan(df.drop(STRAY_INDEX))
 
 
 def read_districts(spark: SparkSession, path: str) -> DataFrame:

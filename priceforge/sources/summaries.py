@@ -27,11 +27,10 @@ def write_report(summary: DataFrame, path: str, metric: str = "test_score") -> N
 def read_summaries(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """All rows of several summary CSV files, matched by column name.
 
-    A single path may be a folder. Its files may differ in order and choice of columns, so each is
-    read by its own header; only their names reach the driver.
+    A path may be a folder. Files may differ in order and choice of columns, so each is read by its own
+    header; only their names reach the driver.
     """
-    if isinstance(paths, str):
-        files = spark.read.format("binaryFile").load(paths).where("length > 0").select("path").orderBy("path")
-        paths = [r.path for r in files.collect()] or [paths]
-    parts = [spark.read.csv(p, header=True, escape='"') for p in paths]
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    files = spark.read.format("binaryFile").load(paths).where("length > 0").select("path").orderBy("path")
+    parts = [spark.read.csv(p, header=True, escape='"') for p in [r.path for r in files.collect()] or paths]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -18,6 +18,7 @@ def one(spark, column, value, kind="string"):
     [
         (None, "missing_value"), ("", "empty_value"), ("***", "empty_value"), ("  Żółć & Straße ", "zolc_strasse"),
         ("[BRICK]", "brick"), ("Œuvre_", "oeuvre"), ("a--b__c", "a_b__c"), ("Ångström 5", "angstrom_5"),
+        ("50 m²", "50_m2"), ("①–Ｗide ⁷", "1_wide_7"), ("x⁄y ½", "x_y"),
     ],
 )
 def test_clean_text(spark, raw, want):

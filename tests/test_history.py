@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from priceforge.operators.joins import first_by
 from priceforge.operators import featuresets as fs
 from priceforge.operators import runs as ops
 from priceforge.operators import trials as tr
@@ -130,6 +131,51 @@ def test_listing_file(spark, tmp_path):
         listings.read_image_means(spark, str(tmp_path / "img"), "all")
 
 
+def test_first_copy_is_the_first_by_file_order(spark, tmp_path):
+    """Files of unequal size, quotes and second copies; the bigger file has several splits."""
+    header = "id,price,location.district\n"
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "b.csv").write_text(header + "".join(f'{i},{i}.5,"B, ""{i}"""\n' for i in range(3000)))
+    (tmp_path / "l" / "a.csv").write_text(header + '2999,1.0,"A, 1"\n5,2.0,A\n5,3.0,A\n')
+    (tmp_path / "l" / "c.csv").write_text(header + "7,0.0,C\n9000,4.0,C\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = listings.read_listings(spark, str(tmp_path / "l"))
+        assert df.rdd.getNumPartitions() > 10
+        kept = {r["id"]: (r["price"], r["district"]) for r in first_by(df, ["id"], ["src_seq"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(kept) == 3001
+    assert kept[2999] == (1.0, "A, 1") and kept[5] == (2.0, "A") and kept[7] == (7.5, 'B, "7"') and kept[9000] == (4.0, "C")
+    in_file = df.where("src_seq.file like '%b.csv'").orderBy("src_seq").select("id").collect()
+    assert [r["id"] for r in in_file] == list(range(3000))
+
+
+def test_a_file_with_another_header_is_an_error(spark, tmp_path):
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "a.csv").write_text("id,price\n1,2.0\n")
+    (tmp_path / "l" / "b.csv").write_text("price,id\n2.0,1\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        listings.read_listings(spark, str(tmp_path / "l")).collect()
+
+
+def test_a_folder_of_summaries_in_a_list(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "d" / "b.csv").write_text("y,x\n3,4\n")
+    (tmp_path / "c.csv").write_text("z\n5\n")
+    rows = summaries.read_summaries(spark, [str(tmp_path / "d"), str(tmp_path / "c.csv")]).select("x", "y", "z").orderBy("z", "x").collect()
+    assert [tuple(r) for r in rows] == [("1", "2", None), ("4", "3", None), (None, None, "5")]
+
+
+def test_range_of_numbers_beside_texts(spark):
+    rows = [("s", i, 1.0 + i, {"x": v}) for i, v in enumerate(["0.1", "auto", "9.5", "2"])]
+    df = spark.createDataFrame(rows, "study string, number long, value double, params map<string,string>")
+    assert [tuple(r) for r in tr.param_range(df).collect()] == [("s", "x", "numeric", 0.1, 9.5, 4)]
+    assert [r["bound"] for r in tr.param_near_bound(df).collect()] == ["lower"]
+
+
 def test_summary_files_with_different_columns(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x,y\n1,2\n")
     (tmp_path / "b.csv").write_text("y,z\n3,4\n")
