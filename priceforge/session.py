@@ -31,6 +31,10 @@ def build_session(app: str = "priceforge", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+#: Whether Spark removes the shuffle files of an execution at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
@@ -52,11 +56,18 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Later passes over the result prune columns and push filters into the scan, and a lost
-    executor costs a re-read of files, not a recomputation of the lineage.
+    executor costs a re-read of files, not a recomputation of the lineage. The shuffle files of the write
+    go as soon as it has ended.
     """
-    path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/priceforge/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark).rstrip('/')}/priceforge/{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    stored = spark.read.schema(df.schema).parquet(path)
     stored.stored_at = path
     return stored
 
