@@ -25,15 +25,16 @@ from tokenizers import Tokenizer
 
 from priceforge.llm.bpe import Fits, Segmenter, byte_alphabet
 from priceforge.llm.corpus import id_and_text, numbered
-from priceforge.llm.rolling import pieces
+from priceforge.llm.rolling import Prefixes, pieces
 from priceforge.session import materialize
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
 END_ID = 0
-_CHUNK = 1 << 21
+_CHUNK = 1 << 20
 _UNITS = 1 << 18
 _REMEMBERED = 400_000
+_SPACES = bytes(32 if b in b"\x20\x09\x0a\x0b\x0c\x0d" else b for b in range(256))
 #: Written behind a word; no byte of UTF-8.
 _WORD_END = b"\xff"
 _SUFFIX = "</w>"
@@ -118,18 +119,37 @@ class Words:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in order, and how many each has."""
-        words, sizes = [], []
-        for text in texts:
-            own = text.split()
-            words += own
-            sizes.append(len(own))
+        distinct, which, sizes = _distinct_words(texts)
         if len(self.known) > _REMEMBERED:
             self._forget()
-        self._learn([w for w in set(words) if w not in self.known])
-        index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self._learn([w for w in distinct if w not in self.known])
+        index = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[which]
         ids, counts = _gather(self.flat, self.starts[index], self.counts[index])
         running = np.concatenate([[0], np.cumsum(counts)])
-        return ids, np.diff(running[np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])])
+        return ids, np.diff(running[np.concatenate([[0], np.cumsum(sizes)])])
+
+
+def _distinct_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words of all texts, which of them each word is, and how many words each text has.
+
+    Words are sorted by a hash; the bytes of each are compared with those of the first under its hash.
+    """
+    joined = b" ".join(texts).translate(_SPACES)
+    buffer = np.frombuffer(joined, dtype=np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], buffer != 32, [False]]).astype(np.int8)))
+    first, last = edges[::2], edges[1::2]
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    sizes = np.diff(np.searchsorted(first, ends), prepend=0)
+    _, at, which = np.unique(Prefixes(buffer).of(first, last), return_index=True, return_inverse=True)
+    length = last - first
+    if (length == length[at][which]).all():
+        steps = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+        same = buffer[steps + np.repeat(first, length)] == buffer[steps + np.repeat(first[at][which], length)]
+        if same.all():
+            return [joined[a:b] for a, b in zip(first[at].tolist(), last[at].tolist())], which, sizes
+    words = [joined[a:b] for a, b in zip(first.tolist(), last.tolist())]
+    place = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    return list(place), np.fromiter(map(place.__getitem__, words), np.int64, len(words)), sizes
 
 
 def _gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

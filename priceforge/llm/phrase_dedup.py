@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from priceforge.llm.corpus import shuffle_width
 from priceforge.llm.repeats import Recurring, Units, keyed, listed, merged, ranges, recurring, spans, word_units
 from priceforge.llm.rolling import pieces
-from priceforge.session import materialize
+from priceforge.session import discard, materialize
 
 WINDOW = 35
 #: Patterns in one automaton, about, and stretches that stream through one for the same pattern.
@@ -182,7 +182,9 @@ def removed(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     rows = keyed(docs, id_col, text_col)
     found = recurring(rows, Units(word_units, window))
     stretches = materialize(_with_words(rows, _stretches(found, window)))
-    covered = spans(occurrences(stretches))
+    found.discard()
+    covered = materialize(spans(occurrences(stretches)))
+    discard(stretches)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

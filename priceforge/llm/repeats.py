@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from priceforge.llm.corpus import id_and_text
 from priceforge.llm.rolling import Prefixes, pieces
-from priceforge.session import materialize
+from priceforge.session import discard, materialize
 
 _CHUNK = 1 << 21
 #: Starts that are named at a time; a longer document is cut, which changes blocks but no result.
@@ -233,6 +233,13 @@ class Recurring:
 
     copied: DataFrame
     single: DataFrame
+    #: Stored tables that both are read from.
+    stored: tuple[DataFrame, ...] = ()
+
+    def discard(self) -> None:
+        """Remove them; what was made of them must be stored by then."""
+        for table in self.stored:
+            discard(table)
 
 
 def recurring(rows: DataFrame, units: Units) -> Recurring:
@@ -241,6 +248,7 @@ def recurring(rows: DataFrame, units: Units) -> Recurring:
     count, tied = F.count(F.lit(1)).alias("m"), F.max("tied").alias("tied")
     names = found.groupBy("name").agg(count, tied).where("m > 1 or tied").select("name")
     live = materialize(found.join(names, "name", "left_semi"))
+    discard(found)
     place = F.struct("doc_id", "sig", "lo", "n")
     distinct = materialize(
         live.groupBy("name", "block").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("rep"), tied)
@@ -249,7 +257,7 @@ def recurring(rows: DataFrame, units: Units) -> Recurring:
     unsettled = distinct.join(several, "name", "left_semi").select(
         "rep.*", F.least("copies", F.lit(2)).cast("int").alias("weight")
     )
-    single = None
+    single, stored = None, [live, distinct]
     if units.cell:
         cells = materialize(cut(rows, unsettled, units, cells_of))
         # A cell name that only one row has is unique, unless the row stands for copies.
@@ -265,6 +273,7 @@ def recurring(rows: DataFrame, units: Units) -> Recurring:
         )
         again = groups.where("copies > 1").select("name", "block")
         single = cells.where("weight = 1").join(again, ["name", "block"], "left_semi").select(*key, "lo", "n")
+        stored += [cells, groups]
     starts = materialize(cut(rows, unsettled, units, starts_of))
     again = starts.groupBy("name", "block").agg(F.sum("weight").alias("m")).where("m > 1").select("name", "block")
     found_single = starts.where("weight = 1").join(again, ["name", "block"], "left_semi").select(*key, "lo", "n")
@@ -272,7 +281,7 @@ def recurring(rows: DataFrame, units: Units) -> Recurring:
     copied = live.join(distinct.where("copies > 1").drop("tied"), ["name", "block"]).select(
         *key, "lo", "n", "block", "copies", (place == F.col("rep")).alias("first")
     )
-    return Recurring(copied, single)
+    return Recurring(copied, single, (*stored, starts))
 
 
 def merged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

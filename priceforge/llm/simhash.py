@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from priceforge.llm.components import connected_components
 from priceforge.llm.corpus import id_and_text
 from priceforge.llm.rolling import pieces
-from priceforge.llm.similar import similar_links, with_bands
 from priceforge.operators.joins import lookup_join
 from priceforge.session import materialize
 
@@ -285,7 +284,6 @@ def near_duplicates(
     text_col: str = "text",
     words: int = 3,
     distance: int = 2,
-    similarity: float | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id.
 
@@ -294,43 +292,30 @@ def near_duplicates(
     zero and is linked like any other. Repeated rows give repeated rows, an empty table an empty
     result. ``component_id`` is the smallest id that links reach.
 
-    Links join fingerprints that differ in at most ``distance`` bits. With ``similarity`` the distance is not
-    looked at: they join texts whose sets of shingles have at least that Jaccard similarity, and
-    ``fingerprint`` names the set (``similar.py``).
-    Links are sought between distinct fingerprints or sets, so copies are never paired. Buckets of more
+    Links join fingerprints that differ in at most ``distance`` bits.
+    Links are sought between distinct fingerprints, so copies are never paired. Buckets of more
     than ``LARGE`` fingerprints are solved by listing neighbours, whose cost is linear.
     """
     rows = id_and_text(docs, id_col, text_col)
-    if similarity is None:
-        marked = materialize(with_fingerprints(rows, words).withColumn("unit", F.col("fp")))
-        distinct = materialize(marked.groupBy("unit").agg(F.min("doc_id").alias("smallest")))
-    else:
-        marked = materialize(with_bands(rows, words))
-        distinct = materialize(
-            marked.groupBy("unit").agg(F.min("doc_id").alias("smallest"), F.first("bands").alias("bands"))
-        )
+    marked = materialize(with_fingerprints(rows, words).withColumn("unit", F.col("fp")))
+    distinct = materialize(marked.groupBy("unit").agg(F.min("doc_id").alias("smallest")))
     if distinct.isEmpty():
         return marked.select("doc_id", F.lit("").alias("fingerprint"), F.col("doc_id").alias("component_id"))
-    if similarity is None:
-        near = links(distinct.select(F.col("unit").alias("fp"), "smallest"), distance)
-    else:
-        near = similar_links(rows, distinct, words, similarity)
+    near = links(distinct.select(F.col("unit").alias("fp"), "smallest"), distance)
     roots = connected_components(near)
     rooted = distinct.join(roots.withColumnRenamed("node", "unit"), "unit", "left").select(
         "unit", "smallest", F.coalesce("root", "unit").alias("root")
     )
     reached = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
     of_unit = materialize(rooted.join(reached, "root").select("unit", "component_id"))
-    name = F.lower(F.lpad(F.hex("fp"), 16, "0")) if similarity is None else F.col("unit")
+    name = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marked.join(of_unit, "unit").select("doc_id", name.alias("fingerprint"), "component_id")
 
 
-def without_near_duplicates(
-    docs: DataFrame, words: int = 3, distance: int = 2, similarity: float | None = None
-) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component; rows without id stay."""
     gone = (
-        near_duplicates(docs, words=words, distance=distance, similarity=similarity)
+        near_duplicates(docs, words=words, distance=distance)
         .where("doc_id <> component_id")
         .select(F.col("doc_id").alias("_gone"))
         .distinct()

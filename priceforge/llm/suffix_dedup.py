@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priceforge.llm.repeats import Units, byte_units, keyed, listed, merged, recurring, spans
+from priceforge.session import materialize
 
 THRESHOLD = 200
 
@@ -21,7 +22,9 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "d
     found = recurring(rows, Units(byte_units, threshold, max(2, threshold // 16)))
     covered = ("doc_id", "sig", "lo", (F.col("lo") + F.col("n") - 1 + threshold).alias("hi"))
     intervals = found.copied.select(*covered).union(found.single.select(*covered))
-    return rows.join(spans(intervals), ["doc_id", "sig"], "left")
+    covered = materialize(spans(intervals))
+    found.discard()
+    return rows.join(covered, ["doc_id", "sig"], "left")
 
 
 def _kept(text: bytes, low: np.ndarray, high: np.ndarray) -> tuple[bytes, int]:
