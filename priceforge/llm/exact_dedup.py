@@ -14,8 +14,8 @@ from priceforge.llm.corpus import id_and_text
 SALTS = 63
 
 
-def normalised(text: str) -> Column:
-    return F.regexp_replace(F.col(text), r"[\x20\x09-\x0D]+", " ")
+def normalised(text: str | Column) -> Column:
+    return F.regexp_replace(F.col(text) if isinstance(text, str) else text, r"[\x20\x09-\x0D]+", " ")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,17 +76,23 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def without_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id stays, one row for each, with all their columns.
+    """The rows of ``docs`` that stay, one for each text, with all their columns.
 
-    Rows without id are outside every group and stay.
+    A row is named by its id and its text, so of an id with several texts each text is judged by itself. Rows
+    without id are outside every group and stay.
     """
-    found = exact_duplicates(docs, id_col, text_col)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    named = F.col(f"`{id_col}`").isNotNull()
-    kept = docs.where(named).join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")
-    twice = (
-        found.where("kept and group_size > 1").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    taken = {c.lower() for c in docs.columns}
+    key = [next(n for k in range(len(taken) + 1) if (n := f"_{name}{k}") not in taken) for name in ("id", "sha")]
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    marked = docs.withColumns({key[0]: F.col(f"`{id_col}`").cast("long"), key[1]: F.sha2(normalised(text), 256)})
+    found = exact_duplicates(docs, id_col, text_col).select(
+        F.col("doc_id").alias(key[0]), F.col("text_sha256").alias(key[1]), "kept", "group_size"
     )
-    repeated = kept.join(twice.withColumnRenamed("doc_id", "_twice"), F.col(f"`{id_col}`") == F.col("_twice"), "left_semi")
-    single = kept.join(twice.withColumnRenamed("doc_id", "_twice"), F.col(f"`{id_col}`") == F.col("_twice"), "left_anti")
-    return single.unionByName(repeated.dropDuplicates([id_col])).unionByName(docs.where(~named))
+    named = marked.where(F.col(key[0]).isNotNull())
+    kept = named.join(found.where(~F.col("kept")).select(*key).distinct(), key, "left_anti")
+    twice = found.where("kept and group_size > 1").groupBy(*key).count().where("count > 1").select(*key)
+    single = kept.join(twice, key, "left_anti")
+    repeated = kept.join(twice, key, "left_semi").dropDuplicates(key)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    parts = [part.select(*columns) for part in (single, repeated, marked.where(F.col(key[0]).isNull()))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

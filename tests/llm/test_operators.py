@@ -104,6 +104,15 @@ def test_exact_duplicates(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(g[0] for g in groups.values())
 
 
+def test_each_text_of_an_id_is_judged_by_itself(spark):
+    rows = [(5, "A", "x"), (3, "C", "y"), (5, "C", "z"), (7, "B  b", "u"), (7, "B b", "v"), (None, "A", "w"), (9, None, ""), (4, "", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _sha0 string")
+    kept = exact_dedup.without_exact_duplicates(docs).collect()
+    got = sorted(((r.doc_id or 0, " ".join((r.text or "").split())) for r in kept))
+    assert got == [(0, "A"), (3, "C"), (4, ""), (5, "A"), (7, "B b")]
+    assert {r._sha0 for r in kept} - {"u", "v"} == {"w", "y", "", "x"} and kept[0].__fields__ == docs.columns
+
+
 def test_sentencepiece_equals_library(spark):
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     ids = [model.encode(t or "") for t in TEXTS]
