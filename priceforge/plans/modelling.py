@@ -41,7 +41,7 @@ def split_table(spark: SparkSession, sf_dir: str, with_images: bool = False) ->
 def prepared(spark: SparkSession, sf_dir: str, with_images: bool = False, **metadata) -> Prepared:
     table = split_table(spark, sf_dir, with_images)
     ready = prepare_feature_set(table, SELECTED, METADATA | metadata)
-    return Prepared(materialize(ready.rows), ready.names, ready.info)
+    return Prepared(materialize(ready.rows), ready.names, ready.info, ready.model)
 
 
 @query("prepared_features")
