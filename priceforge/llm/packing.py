@@ -14,8 +14,10 @@ import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -31,7 +33,7 @@ from priceforge.session import materialize
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
 END_ID = 0
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 _UNITS = 1 << 18
 _REMEMBERED = 400_000
 _SPACES = bytes(32 if b in b"\x20\x09\x0a\x0b\x0c\x0d" else b for b in range(256))
@@ -122,8 +124,12 @@ class Words:
         distinct, which, sizes = _distinct_words(texts)
         if len(self.known) > _REMEMBERED:
             self._forget()
-        self._learn([w for w in distinct if w not in self.known])
-        index = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[which]
+        index = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(index < 0)
+        words = [distinct[i] for i in new.tolist()]
+        self._learn(words)
+        index[new] = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        index = index[which]
         ids, counts = _gather(self.flat, self.starts[index], self.counts[index])
         running = np.concatenate([[0], np.cumsum(counts)])
         return ids, np.diff(running[np.concatenate([[0], np.cumsum(sizes)])])
@@ -132,7 +138,8 @@ class Words:
 def _distinct_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The different words of all texts, which of them each word is, and how many words each text has.
 
-    Words are sorted by a hash; the bytes of each are compared with those of the first under its hash.
+    Words are told apart by a hash, their length and their first and last eight bytes; longer ones also by the
+    bytes between.
     """
     joined = b" ".join(texts).translate(_SPACES)
     buffer = np.frombuffer(joined, dtype=np.uint8)
@@ -140,13 +147,19 @@ def _distinct_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.nda
     first, last = edges[::2], edges[1::2]
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
     sizes = np.diff(np.searchsorted(first, ends), prepend=0)
-    _, at, which = np.unique(Prefixes(buffer).of(first, last), return_index=True, return_inverse=True)
-    length = last - first
-    if (length == length[at][which]).all():
-        steps = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-        same = buffer[steps + np.repeat(first, length)] == buffer[steps + np.repeat(first[at][which], length)]
-        if same.all():
-            return [joined[a:b] for a, b in zip(first[at].tolist(), last[at].tolist())], which, sizes
+    prefixes, length = Prefixes(buffer), last - first
+    which, found = pd.factorize(prefixes.of(first, last))
+    at = np.empty(len(found), dtype=np.int64)
+    at[which[::-1]] = np.arange(len(first))[::-1]
+    stand, own = first[at][which], prefixes.masked(first, length)
+    same = (length == length[at][which]) & (own == prefixes.masked(stand, length))
+    tail = np.maximum(length - 8, 0)
+    same &= prefixes.masked(first + tail, length) == prefixes.masked(stand + tail, length)
+    long = np.flatnonzero(same & (length > 16))
+    inner = length[long]
+    steps = np.arange(int(inner.sum())) - np.repeat(np.cumsum(inner) - inner, inner)
+    if same.all() and (buffer[steps + np.repeat(first[long], inner)] == buffer[steps + np.repeat(stand[long], inner)]).all():
+        return [joined[a:b] for a, b in zip(first[at].tolist(), last[at].tolist())], which, sizes
     words = [joined[a:b] for a, b in zip(first.tolist(), last.tolist())]
     place = {w: i for i, w in enumerate(dict.fromkeys(words))}
     return list(place), np.fromiter(map(place.__getitem__, words), np.int64, len(words)), sizes

@@ -20,7 +20,7 @@ _M_INVERSE = pow(_M, -1, 1 << 64)
 _LENGTH = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Units of a gram: bytes fill a 64-bit number, of units that are hashes themselves it takes two.
 BYTE_GRAM, HASH_GRAM = 8, 2
-_MASKS = np.array([(1 << 8 * n) - 1 for n in range(BYTE_GRAM)], dtype=np.uint64)
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(BYTE_GRAM + 1)], dtype=np.uint64)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -59,6 +59,10 @@ class Prefixes:
         np.cumsum(grams * _power_table(_M, n + 1)[:n], dtype=np.uint64, out=self.sums[1:])
         self.back = _power_table(_M_INVERSE, n + 1)
 
+    def masked(self, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The first bytes of substrings, up to eight, as a number each."""
+        return self.units[starts] & _MASKS[np.minimum(lengths, BYTE_GRAM)]
+
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         length = (ends - starts).astype(np.uint64)
         inside = np.maximum(ends - self.gram + 1, starts)
