@@ -14,7 +14,7 @@ from priceforge.operators.split import stratified_split
 from priceforge.plans import fixtures as fx
 from priceforge.plans.files import scratch
 from priceforge.plans.listings import population
-from priceforge.plans.registry import query
+from priceforge.plans.registry import query, rounded
 from priceforge.session import materialize
 
 SELECTED = [
@@ -129,6 +129,20 @@ def attribution_global(spark, sf_dir):
     return attribute.attribution_global(attribute.attributions(model, test, ready.names))
 
 
+@query(
+    "attribution_ranking",
+    """SELECT feature, round(avg(abs(phi)), 4) AS mean_abs_phi FROM (
+      SELECT l_returnflag || l_linestatus || CAST(l_linenumber AS VARCHAR) AS feature, l_extendedprice * (l_discount - l_tax) AS phi
+      FROM lineitem) WHERE feature NOT IN ('NO1', 'RF2') GROUP BY feature ORDER BY avg(abs(phi)) DESC, feature LIMIT 5""",
+)
+def attribution_ranking(spark, sf_dir):
+    """The strongest features of a long table of attributions, two of them left out."""
+    feature = F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("feature")
+    phi = (F.col("l_extendedprice") * (F.col("l_discount") - F.col("l_tax"))).alias("phi")
+    long = fx.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), feature, F.col("l_quantity").alias("value"), phi)
+    return rounded(attribute.attribution_global(long, 5, without=["NO1", "RF2"]), 4, "mean_abs_phi")
+
+
 @query("sweep")
 def sweep(spark, sf_dir):
     """Runs of a sweep over all models; the second feature set fails and is logged as such."""
