@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from priceforge.llm.corpus import id_and_text
+from priceforge.session import materialize
 
 #: A digest's copies are spread over so many tasks; the salts of a digest are kept as bits of a long.
 SALTS = 63
@@ -85,14 +86,20 @@ def without_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col:
     key = [next(n for k in range(len(taken) + 1) if (n := f"_{name}{k}") not in taken) for name in ("id", "sha")]
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     marked = docs.withColumns({key[0]: F.col(f"`{id_col}`").cast("long"), key[1]: F.sha2(normalised(text), 256)})
-    found = exact_duplicates(docs, id_col, text_col).select(
-        F.col("doc_id").alias(key[0]), F.col("text_sha256").alias(key[1]), "kept", "group_size"
+    found = materialize(
+        exact_duplicates(docs, id_col, text_col).select(
+            F.col("doc_id").alias(key[0]), F.col("text_sha256").alias(key[1]), "kept", "group_size"
+        )
     )
-    named = marked.where(F.col(key[0]).isNotNull())
-    kept = named.join(found.where(~F.col("kept")).select(*key).distinct(), key, "left_anti")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    gone = found.where(~F.col("kept")).select(*key).distinct()
     twice = found.where("kept and group_size > 1").groupBy(*key).count().where("count > 1").select(*key)
+    if twice.isEmpty():
+        # A row without id equals nothing that goes.
+        return marked.join(gone, key, "left_anti").select(*columns)
+    named = marked.where(F.col(key[0]).isNotNull())
+    kept = named.join(gone, key, "left_anti")
     single = kept.join(twice, key, "left_anti")
     repeated = kept.join(twice, key, "left_semi").dropDuplicates(key)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
     parts = [part.select(*columns) for part in (single, repeated, marked.where(F.col(key[0]).isNull()))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -17,7 +17,6 @@ from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -148,9 +147,7 @@ def _distinct_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.nda
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
     sizes = np.diff(np.searchsorted(first, ends), prepend=0)
     prefixes, length = Prefixes(buffer), last - first
-    which, found = pd.factorize(prefixes.of(first, last))
-    at = np.empty(len(found), dtype=np.int64)
-    at[which[::-1]] = np.arange(len(first))[::-1]
+    _, at, which = np.unique(prefixes.of(first, last), return_index=True, return_inverse=True)
     stand, own = first[at][which], prefixes.masked(first, length)
     same = (length == length[at][which]) & (own == prefixes.masked(stand, length))
     tail = np.maximum(length - 8, 0)

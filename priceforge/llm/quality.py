@@ -27,7 +27,7 @@ EPOCHS = 8
 RATE = 4.0
 THRESHOLD = 0.7
 #: Bytes of text that are hashed at a time.
-_CHUNK = 1 << 21
+_CHUNK = 1 << 19
 _SPACES = bytes(32 if b in b"\x20\x09\x0a\x0b\x0c\x0d" else b for b in range(256))
 _PIECES = (3, 4, 5)
 _SAME = 1
