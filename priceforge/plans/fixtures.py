@@ -191,7 +191,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "model_name": F.when(e % 3 != 0, model),
         "feature_set": F.when(e % 4 != 1, sets),
         "feature_set_file": F.when(e % 8 == 1, sets),
-        "n_trials_optuna": F.when(F.floor(e / 2) % 2 == 0, "50").otherwise("100"),
+        "n_trials_optuna": F.when(F.floor(e / 4) % 2 == 0, "50").otherwise("100"),
         "tuning_scoring_metric": metric,
         "cv_folds": F.when(e % 6 != 0, "5"),
         "learning_rate": text(F.col("value")),

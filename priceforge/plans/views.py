@@ -202,7 +202,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
           CASE WHEN event_id % 3 <> 0 THEN model END AS p_model_name,
           CASE WHEN event_id % 4 <> 1 THEN sets END AS p_feature_set,
           CASE WHEN event_id % 8 = 1 THEN sets END AS p_feature_set_file,
-          CASE WHEN event_id // 2 % 2 = 0 THEN '50' ELSE '100' END AS n_trials_optuna,
+          CASE WHEN event_id // 4 % 2 = 0 THEN '50' ELSE '100' END AS n_trials_optuna,
           CASE WHEN event_id % 10 < 7 THEN 'mape' ELSE 'rmse' END AS tuning_scoring_metric,
           CASE WHEN event_id % 6 <> 0 THEN '5' END AS p_cv_folds,
           CAST(value AS VARCHAR) AS p_learning_rate,
