@@ -101,16 +101,22 @@ class Relaxed:
         self.count = np.full(places, -1, dtype=np.int64)
         self.last[self.offsets] = fits.start
         self.count[self.offsets] = 0
-        order = np.lexsort((start, end))
-        source = (self.offsets[unit] + start)[order]
-        target = (self.offsets[unit] + end)[order]
-        token, end = token[order], end[order]
+        target, size = self.offsets[unit] + end, end - start
+        # By end, then place, then the longest token; as one number where that fits.
+        most = int(size.max()) if len(size) else 0
+        if (int(lengths.max()) if len(lengths) else 0).bit_length() + places.bit_length() + most.bit_length() < 63:
+            order = np.argsort((end * places + target) * (most + 1) + (most - size))
+        else:
+            order = np.lexsort((start, target, end))
+        target, token, end = target[order], token[order], end[order]
+        source = target - size[order]
         bounds = np.concatenate([[0], np.flatnonzero(np.diff(end)) + 1, [len(end)]]) if len(end) else [0]
         for a, b in zip(bounds[:-1], bounds[1:]):
             # Longest tokens first; a place is settled by the one that fits.
             left = np.flatnonzero(self.last[source[a:b]] >= 0) + a
             while len(left):
-                _, first = np.unique(target[left], return_index=True)
+                own = target[left]
+                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                 now = left[first]
                 now = now[fits(self.last[source[now]], token[now])]
                 src, dst = source[now], target[now]

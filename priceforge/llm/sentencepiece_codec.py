@@ -65,7 +65,14 @@ class SuffixArray:
         blocks = -(-depth // 8)
         far = np.concatenate([key, np.full(8 * blocks, np.iinfo(np.uint64).max, np.uint64)])
         keys = [far[8 * b : 8 * b + n] for b in range(blocks)]
-        self.order = np.lexsort(keys[::-1])
+        # Most suffixes differ in their first key; only those that share it are sorted by the others.
+        self.order = np.argsort(keys[0])
+        first = keys[0][self.order]
+        new = np.concatenate([[True], first[1:] != first[:-1]])
+        tied = np.flatnonzero(~new | ~np.append(new[1:], True))
+        if len(tied) and blocks > 1:
+            own = self.order[tied]
+            self.order[tied] = own[np.lexsort([*(k[own] for k in keys[:0:-1]), np.cumsum(new)[tied]])]
         self.keys = [k[self.order] for k in keys]
 
     def ranges(self, wanted: Wanted) -> tuple[np.ndarray, np.ndarray]:
