@@ -35,6 +35,8 @@ END_ID = 0
 _CHUNK = 1 << 19
 _UNITS = 1 << 18
 _REMEMBERED = 400_000
+#: Documents that are taken out of Arrow at a time.
+_ROWS = 1024
 _SPACES = bytes(32 if b in b"\x20\x09\x0a\x0b\x0c\x0d" else b for b in range(256))
 #: Written behind a word; no byte of UTF-8.
 _WORD_END = b"\xff"
@@ -76,9 +78,9 @@ class Words:
             if byte_ff not in a and byte_ff not in b
         }
         self.segment = Segmenter(vocabulary, Fits(tokens, _symbols, lambda a, b: merges.get((a, b))))
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.starts = np.empty(0, np.int64)
         self.counts = np.empty(0, np.int64)
@@ -122,7 +124,7 @@ class Words:
         """The ids of all texts in order, and how many each has."""
         distinct, which, sizes = _distinct_words(texts)
         if len(self.known) > _REMEMBERED:
-            self._forget()
+            self.forget()
         index = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
         new = np.flatnonzero(index < 0)
         words = [distinct[i] for i in new.tolist()]
@@ -177,7 +179,7 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
     path = vocabulary or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (own.slice(i, _ROWS) for own in batches for i in range(0, own.num_rows, _ROWS)):
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows: list[tuple] = []
             for a, b in pieces(map(len, texts), _CHUNK):
@@ -197,6 +199,8 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
                     [pa.array(c, k) for c, k in zip(columns, kinds)],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        # The worker goes on with other stages.
+        words(path).forget()
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length int, ids_crc32 long")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from priceforge.llm.corpus import id_and_text
 from priceforge.llm.rolling import Prefixes, mixed, pieces
+from priceforge.session import materialize
 
 #: Rows of the embedding table, 2 to the power of BITS.
 BITS = 17
@@ -187,10 +188,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with all their columns; rows without id stay."""
-    rejected = (
+    rejected = materialize(
         quality_scores(docs, labels, threshold)
         .where("predicted = 0")
         .select(F.col("doc_id").alias("_rejected"))
         .distinct()
     )
+    # Stored first, so that few ids are sent to the texts and no text is moved for them.
     return docs.join(rejected, F.col("`doc_id`").cast("long") == F.col("_rejected"), "left_anti")

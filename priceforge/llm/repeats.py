@@ -31,7 +31,7 @@ from priceforge.llm.corpus import id_and_text
 from priceforge.llm.rolling import Prefixes, pieces
 from priceforge.session import discard, materialize
 
-_CHUNK = 1 << 21
+_CHUNK = 1 << 19
 #: Starts that are named at a time; a longer document is cut, which changes blocks but no result.
 _SLICE = 1 << 21
 #: Bytes that separate words.

@@ -29,7 +29,7 @@ SEED = 42
 LARGE = 2 * (BITS + 1)
 #: A comparison of two fingerprints in units of one shuffled probe.
 COMPARE = 0.05
-_CHUNK = 1 << 21
+_CHUNK = 1 << 19
 #: For each byte the number whose k-th byte is the k-th bit of it.
 _SPREAD = np.array([sum(((v >> k) & 1) << (8 * k) for k in range(8)) for v in range(256)], dtype=np.uint64)
 

@@ -79,3 +79,17 @@ def test_run_is_registered(spark):
     rows = corpus_pipeline.run(spark, SMALL)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(rows.columns)
     assert rows.count() > 0
+
+
+def test_no_text_is_moved_for_the_rejected(spark):
+    """The ids that the classifier rejects are stored first, so Spark sees how few they are and sends them to the texts."""
+    docs = materialize(awkward(spark, SMALL))
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 16))
+    try:
+        plan = quality.accepted(docs, labels)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan
+    assert "SortMergeJoin" not in plan
