@@ -229,6 +229,73 @@ class Segmenter:
         return Relaxed(lengths, unit[places], start, start + sizes, tokens, self.fits)
 
 
+class Merger:
+    """Merges pairs of many short rows of tokens at once: in each row the pair of lowest rank, of equal ones the first.
+
+    The cost grows with the square of a row's length.
+    """
+
+    def __init__(self, merges: dict[tuple[int, int], tuple[int, int]]):
+        """``merges`` gives the rank of a pair of tokens and the token it becomes."""
+        self._none = np.int32(len(merges))
+        ranked = sorted((rank, own, a, b) for (a, b), (rank, own) in merges.items())
+        self._results = np.array([own for _, own, _, _ in ranked], dtype=np.int32)
+        left, right = (np.array([r[i] for r in ranked], dtype=np.int64) for i in (2, 3))
+        self._bits = max(4, (4 * len(ranked)).bit_length())
+        self._keys = np.full((1 << self._bits) + 64, -1, dtype=np.int64)
+        self._ranks = np.full(len(self._keys), self._none, dtype=np.int32)
+        keys = left << 32 | right
+        for rank, (key, slot) in enumerate(zip(keys.tolist(), self._slots(keys).tolist())):
+            while self._keys[slot] >= 0:
+                slot += 1
+            self._keys[slot], self._ranks[slot] = key, rank
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _MULTIPLIER) >> np.uint64(64 - self._bits)).astype(np.int64)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, a number above all ranks for one that isn't merged; token -1 is none."""
+        keys = left.astype(np.int64) << 32 | right
+        slots = self._slots(keys)
+        found = self._keys[slots]
+        out = np.where((found == keys) & (keys >= 0), self._ranks[slots], self._none)
+        open_ = np.flatnonzero((found != keys) & (found >= 0) & (keys >= 0))
+        while len(open_):
+            slots[open_] += 1
+            found = self._keys[slots[open_]]
+            hit = found == keys[open_]
+            out[open_[hit]] = self._ranks[slots[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
+
+    def __call__(self, rows: np.ndarray) -> np.ndarray:
+        """What is left of each row of tokens, filled up with -1 behind its end like the rows given."""
+        out = np.full(rows.shape, -1, dtype=np.int32)
+        n, width = rows.shape
+        live, tokens = np.arange(n), rows.astype(np.int32)
+        ranks = self._rank(tokens[:, :-1].ravel(), tokens[:, 1:].ravel()).reshape(n, width - 1)
+        columns = np.arange(width)
+        while len(live) and ranks.shape[1]:
+            at = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(live)), at]
+            going = best < self._none
+            if not going.all():
+                out[live[~going], : tokens.shape[1]] = tokens[~going]
+                live, tokens, ranks, at, best = live[going], tokens[going], ranks[going], at[going], best[going]
+            # The right one of the pair goes, what stands behind it moves up.
+            behind = columns[: tokens.shape[1] - 1] > at[:, None]
+            tokens = np.where(behind, tokens[:, 1:], tokens[:, :-1])
+            ranks = np.where(behind[:, :-1], ranks[:, 1:], ranks[:, :-1])
+            merged = self._results[best]
+            tokens[np.arange(len(live)), at] = merged
+            inner = np.flatnonzero(at < ranks.shape[1])
+            ranks[inner, at[inner]] = self._rank(merged[inner], tokens[inner, at[inner] + 1])
+            inner = np.flatnonzero(at > 0)
+            ranks[inner, at[inner] - 1] = self._rank(tokens[inner, at[inner] - 1], merged[inner])
+        out[live, : tokens.shape[1]] = tokens
+        return out
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-in of each byte in byte-level vocabularies: itself if printable, else from U+0100 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]

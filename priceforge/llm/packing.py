@@ -14,7 +14,6 @@ import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import public_tokenizers
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from priceforge.llm.bpe import Fits, Segmenter, byte_alphabet
+from priceforge.llm.bpe import Fits, Merger, Segmenter, byte_alphabet
 from priceforge.llm.corpus import id_and_text, numbered
 from priceforge.llm.rolling import Prefixes, pieces
 from priceforge.session import materialize
@@ -32,9 +31,10 @@ from priceforge.session import materialize
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
 END_ID = 0
-_CHUNK = 1 << 19
+_CHUNK = 1 << 20
 _UNITS = 1 << 18
-_REMEMBERED = 400_000
+#: Parts of words of at most so many bytes are merged pair by pair, in rows of these widths.
+_WIDTHS = (4, 8, 12, 16, 24, 32)
 #: Documents that are taken out of Arrow at a time.
 _ROWS = 1024
 _SPACES = bytes(32 if b in b"\x20\x09\x0a\x0b\x0c\x0d" else b for b in range(256))
@@ -44,7 +44,9 @@ _SUFFIX = "</w>"
 #: Any character that normalisation may change in another way than to lower case. Words with such a one are
 #: left to the library.
 _STRANGE = regex.compile("[^\n!-~\u00a1-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e]")
-_PARTS = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: What a word is cut into:
+#: 's|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+
+_BREAK, _LETTER, _NUMBER, _OTHER = range(4)
 
 
 def _symbols(text: bytes) -> list[bytes]:
@@ -53,7 +55,7 @@ def _symbols(text: bytes) -> list[bytes]:
 
 
 class Words:
-    """Ids of whole texts, white space dropped, each distinct word encoded once."""
+    """Ids of whole texts, white space dropped, each distinct word and each distinct part of one encoded once."""
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
@@ -78,76 +80,121 @@ class Words:
             if byte_ff not in a and byte_ff not in b
         }
         self.segment = Segmenter(vocabulary, Fits(tokens, _symbols, lambda a, b: merges.get((a, b))))
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.starts = np.empty(0, np.int64)
-        self.counts = np.empty(0, np.int64)
-        self.flat = np.empty(0, np.int32)
-
-    def _add(self, words: list[bytes], counts: np.ndarray, ids: np.ndarray) -> None:
-        self.known.update(zip(words, range(len(self.counts), len(self.counts) + len(words))))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
-        self.counts = np.concatenate([self.counts, counts])
-        self.flat = np.concatenate([self.flat, ids])
-
-    def _learn(self, words: list[bytes]) -> None:
-        simple, others = words, []
+        # The token of each byte within a part, then of each as its last.
+        self.bytes = np.array([[vocabulary.get(bytes([b]) + end, -1) for b in range(256)] for end in (b"", _WORD_END)])
+        self.merge = Merger({(vocabulary[a], vocabulary[b]): (r, vocabulary[a + b]) for (a, b), r in merges.items()})
+
+    def _merged(self, buffer: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts of words in order, and how many each has."""
+        lengths = last - first
+        symbols = self.bytes[0][buffer]
+        symbols[last - 1] = self.bytes[1][buffer[last - 1]]
+        # Few are longer, and a vocabulary may lack a byte: those are found by paths.
+        missing = np.concatenate([[0], np.cumsum(symbols < 0)])
+        short = (lengths <= _WIDTHS[-1]) & (missing[last] == missing[first])
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for least, most in zip((0, *_WIDTHS), _WIDTHS):
+            some = np.flatnonzero(short & (lengths > least) & (lengths <= most))
+            columns = np.arange(most)
+            inside = columns < lengths[some, None]
+            rows = np.full((len(some), most), -1, dtype=np.int32)
+            rows[inside] = symbols[(first[some, None] + columns)[inside]]
+            rows = self.merge(rows)
+            found.append((some, (rows >= 0).sum(axis=1), rows[rows >= 0]))
+        others = np.flatnonzero(~short)
+        for a, b in pieces(lengths[others].tolist(), _UNITS):
+            spans = zip(first[others[a:b]].tolist(), last[others[a:b]].tolist())
+            own = self.segment([buffer[x:y].tobytes() + _WORD_END for x, y in spans])
+            found.append((others[a:b], own.totals(), own.paths()[0]))
+        which, sizes, ids = (np.concatenate(x) for x in zip(*found))
+        place = np.empty(len(first), dtype=np.int64)
+        place[which] = np.arange(len(first))
+        return _gather(ids, (np.cumsum(sizes) - sizes)[place], sizes[place])
+
+    def _simple(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words with a line break between two, and how many each word has."""
+        text = text.lower()
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        starts, edges = _part_starts(codes)
+        places = np.concatenate([[0], np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800))])
+        buffer = np.frombuffer(text.encode(), dtype=np.uint8)
+        first, last = places[starts], places[edges[np.searchsorted(edges, starts) + 1]]
+        at, which = _distinct(buffer, first, last)
+        ids, counts = self._merged(buffer, first[at], last[at])
+        joined, sizes = _gather(ids, (np.cumsum(counts) - counts)[which], counts[which])
+        running = np.concatenate([[0], np.cumsum(sizes)])
+        breaks = np.concatenate([np.flatnonzero(codes == 10), [len(codes)]])
+        return joined, np.diff(running[np.searchsorted(starts, breaks)], prepend=0)
+
+    def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in order, and how many each has."""
         text = b"\n".join(words).decode()
-        if _STRANGE.search(text) or any(s in text for s in self.special):
-            simple = []
-            for word in words:
-                own = word.decode()
-                odd = _STRANGE.search(own) or any(s in own for s in self.special)
-                (others if odd else simple).append(word)
-            text = b"\n".join(simple).decode()
-        if simple:
-            # All words at once; a line break stands between two words and is a part of its own.
-            parts = _PARTS.findall(text.lower())
-            index = {p: i for i, p in enumerate(dict.fromkeys(["\n", *parts]))}
-            part = np.fromiter(map(index.__getitem__, parts), np.int64, len(parts))
-            breaks = np.concatenate([[0], np.cumsum(part != 0)])[np.concatenate([[0], np.flatnonzero(part == 0), [len(part)]])]
-            part = part[part != 0] - 1
-            raw = [p.encode() + _WORD_END for p in list(index)[1:]]
-            found = [self.segment(raw[a:b]) for a, b in pieces(map(len, raw), _UNITS)]
-            ids = np.concatenate([f.paths()[0] for f in found])
-            counts = np.concatenate([f.totals() for f in found])
-            joined, sizes = _gather(ids, (np.cumsum(counts) - counts)[part], counts[part])
-            running = np.concatenate([[0], np.cumsum(sizes)])
-            self._add(simple, np.diff(running[breaks]), joined)
-        if others:
-            rows = [e.ids for e in self.library.encode_batch([w.decode() for w in others], add_special_tokens=False)]
-            self._add(others, np.fromiter(map(len, rows), np.int64, len(rows)), np.array([i for r in rows for i in r], np.int32))
+        if not words or not (_STRANGE.search(text) or any(s in text for s in self.special)):
+            return self._simple(text) if words else (np.empty(0, np.int32), np.empty(0, np.int64))
+        own = [w.decode() for w in words]
+        odd = np.array([bool(_STRANGE.search(w)) or any(s in w for s in self.special) for w in own])
+        others = self.library.encode_batch([own[i] for i in np.flatnonzero(odd).tolist()], add_special_tokens=False)
+        rows = [e.ids for e in others]
+        ids, counts = np.array([i for r in rows for i in r], np.int32), np.fromiter(map(len, rows), np.int64, len(rows))
+        if not odd.all():
+            simple, sizes = self._simple("\n".join(own[i] for i in np.flatnonzero(~odd).tolist()))
+            ids, counts = np.concatenate([simple, ids]), np.concatenate([sizes, counts])
+        place = np.empty(len(words), dtype=np.int64)
+        place[np.argsort(odd, kind="stable")] = np.arange(len(words))
+        return _gather(ids, (np.cumsum(counts) - counts)[place], counts[place])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in order, and how many each has."""
-        distinct, which, sizes = _distinct_words(texts)
-        if len(self.known) > _REMEMBERED:
-            self.forget()
-        index = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
-        new = np.flatnonzero(index < 0)
-        words = [distinct[i] for i in new.tolist()]
-        self._learn(words)
-        index[new] = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        index = index[which]
-        ids, counts = _gather(self.flat, self.starts[index], self.counts[index])
+        joined = b" ".join(texts).translate(_SPACES)
+        buffer = np.frombuffer(joined, dtype=np.uint8)
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], buffer != 32, [False]]).astype(np.int8)))
+        first, last = edges[::2], edges[1::2]
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        at, which = _distinct(buffer, first, last)
+        ids, counts = self._ids([joined[a:b] for a, b in zip(first[at].tolist(), last[at].tolist())])
+        ids, counts = _gather(ids, (np.cumsum(counts) - counts)[which], counts[which])
         running = np.concatenate([[0], np.cumsum(counts)])
-        return ids, np.diff(running[np.concatenate([[0], np.cumsum(sizes)])])
-
-
-def _distinct_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The different words of all texts, which of them each word is, and how many words each text has.
-
-    Words are told apart by a hash, their length and their first and last eight bytes; longer ones also by the
+        return ids, np.diff(running[np.searchsorted(first, ends)], prepend=0)
+
+
+def _part_starts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the parts of words begin, and where anything begins or ends: all characters at once."""
+    kind = np.concatenate([[_BREAK], _kinds()[codes], [_BREAK] * 3])
+    here, before = kind[1:-3], kind[:-4]
+    begins = (here != _BREAK) & ((here != before) | (here == _NUMBER))
+    # A short form is taken where its apostrophe begins a part.
+    marks = np.flatnonzero((codes == ord("'")) & begins)
+    after = np.concatenate([codes, [10, 10, 10]])
+    size = np.zeros(len(marks), dtype=np.int64)
+    for ending in ("s", "t", "re", "ve", "m", "ll", "d"):
+        fits = np.ones(len(marks), dtype=bool)
+        for k, c in enumerate(ending, 1):
+            fits &= after[marks + k] == ord(c)
+        size[fits] = 1 + len(ending)
+    marks, size = marks[size > 0], size[size > 0]
+    begins[marks + 1] = False
+    ends = marks + size
+    ends = ends[ends < len(codes)]
+    begins[ends] = here[ends] != _BREAK
+    return np.flatnonzero(begins), np.concatenate([np.flatnonzero(begins | (here == _BREAK)), [len(codes)]])
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Letter, number or other for each character that a word without strange ones may have in lower case."""
+    kinds = np.full(0x3000, _OTHER, dtype=np.int8)
+    for kind, pattern in ((_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}")):
+        kinds[[ord(c) for c in regex.findall(pattern, "".join(map(chr, range(len(kinds)))))]] = kind
+    kinds[10] = _BREAK
+    return kinds
+
+
+def _distinct(buffer: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some spans of bytes that are all different, and for each span which of them equals it.
+
+    Spans are told apart by a hash, their length and their first and last eight bytes; longer ones also by the
     bytes between.
     """
-    joined = b" ".join(texts).translate(_SPACES)
-    buffer = np.frombuffer(joined, dtype=np.uint8)
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], buffer != 32, [False]]).astype(np.int8)))
-    first, last = edges[::2], edges[1::2]
-    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    sizes = np.diff(np.searchsorted(first, ends), prepend=0)
     prefixes, length = Prefixes(buffer), last - first
     _, at, which = np.unique(prefixes.of(first, last), return_index=True, return_inverse=True)
     stand, own = first[at][which], prefixes.masked(first, length)
@@ -158,10 +205,11 @@ def _distinct_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.nda
     inner = length[long]
     steps = np.arange(int(inner.sum())) - np.repeat(np.cumsum(inner) - inner, inner)
     if same.all() and (buffer[steps + np.repeat(first[long], inner)] == buffer[steps + np.repeat(stand[long], inner)]).all():
-        return [joined[a:b] for a, b in zip(first[at].tolist(), last[at].tolist())], which, sizes
-    words = [joined[a:b] for a, b in zip(first.tolist(), last.tolist())]
-    place = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    return list(place), np.fromiter(map(place.__getitem__, words), np.int64, len(words)), sizes
+        return at, which
+    spans = [buffer[a:b].tobytes() for a, b in zip(first.tolist(), last.tolist())]
+    place = {s: i for i, s in reversed(list(enumerate(spans)))}
+    at, which = np.unique([place[s] for s in spans], return_inverse=True)
+    return at, which
 
 
 def _gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,8 +247,6 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
                     [pa.array(c, k) for c, k in zip(columns, kinds)],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
-        # The worker goes on with other stages.
-        words(path).forget()
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length int, ids_crc32 long")
