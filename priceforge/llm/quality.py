@@ -91,6 +91,26 @@ class Scorer:
         return out
 
 
+class _Example:
+    """The buckets of a document and how often it has each, in as few bytes as they take."""
+
+    __slots__ = ("low", "upper", "counts", "total")
+
+    def __init__(self, buckets: np.ndarray):
+        rows, counts = np.unique(buckets, return_counts=True)
+        self.low = rows.astype(np.uint16)
+        # Buckets are sorted: where each further 65,536 of them begin.
+        self.upper = np.searchsorted(rows, np.arange(1, 1 << max(0, BITS - 16)) << 16).tolist()
+        self.counts = counts.astype(np.min_scalar_type(int(counts.max()))) if len(counts) else counts.astype(np.uint8)
+        self.total = max(1, len(buckets))
+
+    def weighted(self) -> tuple[np.ndarray, np.ndarray]:
+        rows = self.low.astype(np.int32)
+        for at in self.upper:
+            rows[at:] += 1 << 16
+        return rows, (self.counts.astype(np.int64) / self.total).astype(np.float32)
+
+
 def train(texts: list[bytes], labels: list[int], seed: int = 42) -> Scorer:
     """Fit by stochastic gradient descent, one document at a time with a falling rate.
 
@@ -101,13 +121,12 @@ def train(texts: list[bytes], labels: list[int], seed: int = 42) -> Scorer:
     if len(set(labels)) < 2:
         share = min(max(float(y.mean()), 1e-3), 1 - 1e-3) if len(y) else 0.5
         return Scorer(np.zeros(1 << BITS), float(np.log(share / (1 - share))))
-    examples = []
-    for a, b in pieces(map(len, texts), _CHUNK):
+    examples: list[_Example] = []
+    # On the driver, so with little at a time.
+    for a, b in pieces(map(len, texts), _CHUNK // 8):
         kinds = list(hashed_features(texts[a:b]))
-        for d in range(b - a):
-            own = np.concatenate([k[f[d] : t[d]] for k, f, t in kinds])
-            rows, counts = np.unique(own, return_counts=True)
-            examples.append((rows.astype(np.int32), (counts / max(1, len(own))).astype(np.float32)))
+        examples += [_Example(np.concatenate([k[f[d] : t[d]] for k, f, t in kinds])) for d in range(b - a)]
+        del kinds
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (1 << BITS, DIMENSIONS)).astype(np.float32)
     layer = np.zeros((2, DIMENSIONS), dtype=np.float32)
@@ -117,7 +136,7 @@ def train(texts: list[bytes], labels: list[int], seed: int = 42) -> Scorer:
         for d in rng.permutation(len(examples)):
             rate = RATE * (1 - done / steps)
             done += 1
-            rows, weights = examples[d]
+            rows, weights = examples[d].weighted()
             mean = weights @ vectors[rows]
             z = layer @ mean + bias
             p = np.exp(z - z.max())
@@ -155,8 +174,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
         .select("doc_id", F.col("text").cast("binary").alias("text"), "quality")
         .collect()
     )
-    rows = sorted({r.doc_id: r for r in rows}.values(), key=lambda r: r.doc_id)
-    return train([bytes(r.text) for r in rows], [r.quality for r in rows])
+    found = sorted({r.doc_id: (bytes(r.text), r.quality) for r in rows}.items())
+    del rows
+    return train([text for _, (text, _) in found], [quality for _, (_, quality) in found])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
