@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,6 +25,13 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ).where(F.col("doc_id").isNotNull())
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], most: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that a Python worker has few texts out of Arrow at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, most):
+            yield batch.slice(start, most)
+
+
 def bucket_of(column: str | Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(buckets).cast("long")).cast("int")
 

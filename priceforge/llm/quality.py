@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from priceforge.llm.corpus import id_and_text
+from priceforge.llm.corpus import few_rows, id_and_text
 from priceforge.llm.rolling import Prefixes, mixed, pieces
 from priceforge.session import materialize
 
@@ -191,7 +191,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     def score(batches):
         weights, bias = shared.value
         own = Scorer(weights, bias)
-        for batch in batches:
+        for batch in few_rows(batches):
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(own.scores(texts), pa.float64())], names=["doc_id", "score"]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from priceforge.llm.corpus import id_and_text
+from priceforge.llm.corpus import few_rows, id_and_text
 from priceforge.llm.rolling import Prefixes, pieces
 from priceforge.session import discard, materialize
 
@@ -113,7 +113,7 @@ def runs_of(values: np.ndarray, sizes: np.ndarray, threshold: int) -> Iterator[t
 
 def blocks(rows: DataFrame, units: Units) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             texts = batch.column(2).to_pylist()
             for a, b in pieces(map(len, texts), _CHUNK):
                 values, sizes = units.split(texts[a:b])
@@ -188,7 +188,7 @@ def cut(rows: DataFrame, wanted: DataFrame, units: Units, finer: Callable) -> Da
     """The ``wanted`` stretches of starts (doc_id, sig, lo, n, weight), cut by ``finer`` and named anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             texts = batch.column(2).to_pylist()
             counts, (low, n, weight) = listed(batch.column(3), ("lo", "n", "weight"))
             offsets = np.concatenate([[0], np.cumsum(counts)])

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from priceforge.llm.components import connected_components
-from priceforge.llm.corpus import id_and_text
+from priceforge.llm.corpus import few_rows, id_and_text
 from priceforge.llm.rolling import pieces
 from priceforge.operators.joins import lookup_join
 from priceforge.session import materialize
@@ -86,7 +86,7 @@ def with_fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp) of documents of (doc_id, text); ``fp`` holds the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             found = simhashes(batch.column(1).to_pylist(), words)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from priceforge.llm.corpus import few_rows
 from priceforge.llm.repeats import Units, byte_units, keyed, listed, merged, recurring, spans
 from priceforge.session import materialize
 
@@ -46,7 +47,7 @@ def removed(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             counts, (low, high) = listed(batch.column(2), ("lo", "hi"))
             offsets = np.concatenate([[0], np.cumsum(counts)])
             rows = []
@@ -86,7 +87,7 @@ def without_repeated_strings(docs: DataFrame, threshold: int = THRESHOLD) -> Dat
     )
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             texts = [t.decode("utf-8", "ignore") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_cut_id", "_cut_text"])
 
