@@ -37,14 +37,22 @@ def _kept(text: bytes, low: np.ndarray, high: np.ndarray) -> tuple[bytes, int]:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), len(low)
 
 
-def removed(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed(
+    docs: DataFrame,
+    threshold: int = THRESHOLD,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    as_text: bool = False,
+) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
 
     A byte goes if a string of ``threshold`` bytes that starts at another place too, in any
     document, covers it. Strings never cross documents and are judged on the input. Null is empty;
     shorter texts stay whole. Repeated rows are copies of each other, so their long texts go; an
-    empty table gives an empty result. Rows without id are left out.
+    empty table gives an empty result. Rows without id are left out. With ``as_text`` ``kept`` is a string,
+    without what a cut leaves of a character.
     """
+    kind = pa.string() if as_text else pa.binary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_rows(batches):
@@ -54,7 +62,8 @@ def removed(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id",
             for i, text in enumerate(batch.column(1).to_pylist()):
                 own = slice(offsets[i], offsets[i + 1])
                 kept, n = _kept(text, low[own], high[own])
-                rows.append((len(text), len(text) - len(kept), n, hashlib.sha256(kept).hexdigest(), kept))
+                digest = hashlib.sha256(kept).hexdigest()
+                rows.append((len(text), len(text) - len(kept), n, digest, kept.decode("utf-8", "ignore") if as_text else kept))
             sizes, gone, runs, digests, left = zip(*rows, strict=True) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays(
                 [
@@ -63,14 +72,14 @@ def removed(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id",
                     pa.array(gone, pa.int64()),
                     pa.array(runs, pa.int64()),
                     pa.array(digests, pa.string()),
-                    pa.array(left, pa.binary()),
+                    pa.array(left, kind),
                 ],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
     found = repeated_spans(docs, threshold, id_col, text_col).select("doc_id", "text", "spans")
     return found.mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+        run, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {kind}"
     )
 
 
@@ -80,18 +89,12 @@ def without_repeated_strings(docs: DataFrame, threshold: int = THRESHOLD) -> Dat
     A cut may split a character; the bytes that are left of it go too. Texts that lose nothing
     stay as they are, null ones included, as do rows without id. Ids must be unique.
     """
-    changed = (
-        removed(docs, threshold)
+    # Decoded by the worker that cuts: two Python steps in one stage would take two workers for each core.
+    texts = (
+        removed(docs, threshold, as_text=True)
         .where("n_removed > 0")
-        .select(F.col("doc_id").alias("_cut_id"), F.col("kept").alias("_cut_kept"))
+        .select(F.col("doc_id").alias("_cut_id"), F.col("kept").alias("_cut_text"))
     )
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in few_rows(batches):
-            texts = [t.decode("utf-8", "ignore") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_cut_id", "_cut_text"])
-
-    texts = changed.mapInArrow(whole, "_cut_id long, _cut_text string")
     both = docs.join(texts, F.col("`doc_id`").cast("long") == F.col("_cut_id"), "left")
     replaced = {"text": F.coalesce("_cut_text", "text")}
     if "n_chars" in docs.columns:
